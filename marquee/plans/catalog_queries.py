@@ -81,7 +81,8 @@ d_lists AS (
          string_agg(d.nconst, '|' ORDER BY d.pos) AS director_ids,
          string_agg(coalesce(n.primaryName, '?'), '|' ORDER BY d.pos) AS director_names,
          CAST(count(*) AS BIGINT) AS n_directors,
-         list(n.primaryName ORDER BY d.pos)[1] AS first_name
+         list(n.primaryName ORDER BY d.pos)[1] AS first_name,
+         list(n.primaryName ORDER BY d.pos) AS director_names_l
   FROM d_pos d LEFT JOIN b_names n ON n.nconst = d.nconst
   GROUP BY d.tconst)
 """
@@ -95,6 +96,7 @@ c_lists AS (
   SELECT c.tconst,
          string_agg(c.nconst, '|' ORDER BY c.pos) AS cast_ids,
          string_agg(coalesce(n.primaryName, '?'), '|' ORDER BY c.pos) AS actors,
+         list(n.primaryName ORDER BY c.pos) AS actors_l,
          CAST(count(*) AS BIGINT) AS n_cast
   FROM c_top c LEFT JOIN b_names n ON n.nconst = c.nconst
   WHERE c.pos <= 5
@@ -119,7 +121,9 @@ curated AS (
          array_to_string(list_filter(string_split(s.genres, ','), lambda x: x <> '' AND x <> '\N'), '|') AS genres,
          round(s.score, 6) AS score,
          coalesce(c.cast_ids, '') AS cast_ids,
-         coalesce(c.actors, '') AS actors
+         coalesce(c.actors, '') AS actors,
+         coalesce(c.actors_l, []) AS actors_l,
+         list_filter(string_split(s.genres, ','), lambda x: x <> '' AND x <> '\N') AS genres_l
   FROM scored s
   LEFT JOIN dup ON dup.primaryTitle IS NOT DISTINCT FROM s.primaryTitle
   LEFT JOIN d_lists d ON d.tconst = s.tconst
@@ -239,6 +243,158 @@ def disambiguated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cu.disambiguate(scored).select("tconst", "title", "primary_title")
 
 
-@register("curated", _with(_CURATED_SQL + "\nSELECT * FROM curated"))
+@register(
+    "curated",
+    _with(_CURATED_SQL + """
+SELECT tconst, title, primary_title, director, director_ids, director_names, genres, score, cast_ids, actors
+FROM curated"""),
+)
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curated_text(curated_typed(spark, sf_dir, sort=True))
+
+
+# --------------------------------------------------------------------------
+# term index and overlap recommendation
+# --------------------------------------------------------------------------
+
+from marquee.operators import index as ix  # noqa: E402
+from marquee.operators import recommend as rc  # noqa: E402
+
+# Recommendation parameters of the registered queries.
+TOP_N = 10
+CANDIDATE_LIMIT = 500
+# A low document-frequency cut that makes genre-like terms "hot" at sf0.01,
+# so the registered check also covers the sub-vector list path.
+SPLIT_HOT_MIN_DF = 16
+
+_CAT_SQL = (
+    _CURATED_SQL
+    + r""",
+cat AS (SELECT tconst, title, score, director, actors_l, genres_l FROM curated),
+tt AS (
+  SELECT DISTINCT term, tconst FROM (
+    SELECT tconst, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') AS term
+    FROM (SELECT tconst, unnest(list_concat(actors_l, [director], genres_l)) AS v FROM cat))
+  WHERE term IS NOT NULL AND term <> '')
+"""
+)
+
+
+def _rec_sql(n: int, lim: int) -> str:
+    """Closed-form recommendation for every catalogue title (brute force)."""
+    k = min(lim, n)
+    return f"""
+ov AS (
+  SELECT a.tconst AS q, b.tconst AS c, CAST(count(*) AS BIGINT) AS overlap
+  FROM tt a JOIN tt b USING (term) WHERE a.tconst <> b.tconst GROUP BY 1, 2),
+st1 AS (
+  SELECT * FROM (
+    SELECT ov.q, ov.c, ov.overlap,
+           row_number() OVER (PARTITION BY ov.q ORDER BY ov.overlap DESC, cat.score DESC, cat.title, ov.c) AS rk
+    FROM ov JOIN cat ON cat.tconst = ov.c) WHERE rk <= {k}),
+pool AS (SELECT tconst, title, score FROM cat ORDER BY score DESC, title LIMIT {n + 1}),
+st2 AS (
+  SELECT r.tconst AS q, p.tconst AS c,
+         row_number() OVER (PARTITION BY r.tconst ORDER BY p.score DESC, p.title) AS rk
+  FROM cat r CROSS JOIN pool p
+  WHERE p.tconst <> r.tconst
+    AND NOT EXISTS (SELECT 1 FROM st1 WHERE st1.q = r.tconst AND st1.c = p.tconst)),
+u AS (
+  SELECT q, c, 1 AS stage, rk, overlap, 'terms' AS source FROM st1
+  UNION ALL SELECT q, c, 2, rk, CAST(NULL AS BIGINT), 'fallback' FROM st2),
+recs AS (
+  SELECT * FROM (
+    SELECT u.q, u.c, u.overlap, u.source,
+           CAST(row_number() OVER (PARTITION BY u.q ORDER BY u.stage, u.rk) AS INTEGER) AS rank
+    FROM u) WHERE rank <= {n})
+"""
+
+
+def catalog_index(spark: SparkSession, sf_dir: str):
+    """Titles and terms of the bound catalogue (score rounded to 6 places
+    so both engines rank identical values)."""
+    from marquee.plans.store import build_store
+
+    cat = curated_typed(spark, sf_dir).withColumn("score", r6("score"))
+    return build_store(cat)
+
+
+@register("title_terms", _with(_CAT_SQL + "\nSELECT term, tconst FROM tt"))
+def title_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, terms = catalog_index(spark, sf_dir)
+    return terms
+
+
+def _rec_columns(df: DataFrame) -> DataFrame:
+    return df.select("query_tconst", "rank", "tconst", "title", "score", "overlap", "source")
+
+
+_REC_SELECT = """
+SELECT recs.q AS query_tconst, recs.rank, recs.c AS tconst, cat.title, cat.score, recs.overlap, recs.source
+FROM recs JOIN cat ON cat.tconst = recs.c"""
+
+
+@register("recommend_all", _with(_CAT_SQL + "," + _rec_sql(TOP_N, CANDIDATE_LIMIT) + _REC_SELECT))
+def recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles, terms = catalog_index(spark, sf_dir)
+    return _rec_columns(rc.recommend_all(titles, terms, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT))
+
+
+@register("recommend_all_hot_split", _with(_CAT_SQL + "," + _rec_sql(TOP_N, CANDIDATE_LIMIT) + _REC_SELECT))
+def recommend_all_hot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles, terms = catalog_index(spark, sf_dir)
+    return _rec_columns(
+        rc.recommend_all(titles, terms, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT, hot_min_df=SPLIT_HOT_MIN_DF)
+    )
+
+
+@register("recommend_fallback", _with(_CAT_SQL + "," + _rec_sql(5, 1) + _REC_SELECT))
+def recommend_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate limit 1: one term-ranked title, the rest by score."""
+    titles, terms = catalog_index(spark, sf_dir)
+    return _rec_columns(rc.recommend_all(titles, terms, top_n=5, candidate_limit=1))
+
+
+@register(
+    "candidates_bounded",
+    _with(
+        _CAT_SQL
+        + """,
+ov AS (
+  SELECT a.tconst AS q, b.tconst AS c, CAST(count(*) AS BIGINT) AS overlap
+  FROM tt a JOIN tt b USING (term) WHERE a.tconst <> b.tconst GROUP BY 1, 2),
+rk AS (
+  SELECT ov.q, ov.c, ov.overlap,
+         CAST(row_number() OVER (PARTITION BY ov.q ORDER BY ov.overlap DESC, cat.score DESC, cat.title, ov.c) AS INTEGER) AS rank
+  FROM ov JOIN cat ON cat.tconst = ov.c)
+SELECT q AS query_tconst, rank, c AS tconst, overlap FROM rk WHERE rank <= 25"""
+    ),
+)
+def candidates_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles, terms = catalog_index(spark, sf_dir)
+    return rc.candidates(titles, terms, candidate_limit=25, hot_min_df=SPLIT_HOT_MIN_DF)
+
+
+@register(
+    "recommend_requests_with_errors",
+    _with(
+        _CAT_SQL
+        + ","
+        + _rec_sql(TOP_N, CANDIDATE_LIMIT)
+        + """,
+req AS (SELECT CAST(p_partkey AS VARCHAR) AS request_id, p_name AS query FROM part),
+res AS (SELECT req.request_id, req.query, cat.tconst AS q FROM req LEFT JOIN cat ON cat.title = req.query)
+SELECT res.request_id, res.query, res.q AS query_tconst, recs.rank, recs.c AS tconst, cat.title, cat.score,
+       recs.overlap, recs.source, CAST(NULL AS VARCHAR) AS error
+FROM res JOIN recs ON recs.q = res.q JOIN cat ON cat.tconst = recs.c
+UNION ALL
+SELECT request_id, query, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'This movie is not in the dataset.'
+FROM res WHERE q IS NULL"""
+    ),
+)
+def recommend_requests_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part name is a request; bare duplicate titles are not findable."""
+    titles, terms = catalog_index(spark, sf_dir)
+    part = b.table(spark, sf_dir, "part")
+    requests = part.select(F.col("p_partkey").cast("string").alias("request_id"), F.col("p_name").alias("title"))
+    return rc.recommend(titles, terms, requests, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT)

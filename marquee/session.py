@@ -25,6 +25,7 @@ def get_session(
     shuffle_partitions: int | None = None,
     app_name: str = "marquee",
     extra_conf: dict[str, str] | None = None,
+    driver_memory: str | None = None,
 ) -> SparkSession:
     """Return (or create) a session with the settings the operators expect.
 
@@ -36,6 +37,9 @@ def get_session(
         builder = builder.master(master)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
+    if driver_memory:
+        # only effective when this call starts the JVM (local runs)
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra_conf or {}).items():
