@@ -398,3 +398,90 @@ def recommend_requests_with_errors(spark: SparkSession, sf_dir: str) -> DataFram
     part = b.table(spark, sf_dir, "part")
     requests = part.select(F.col("p_partkey").cast("string").alias("request_id"), F.col("p_name").alias("title"))
     return rc.recommend(titles, terms, requests, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT)
+
+
+# --------------------------------------------------------------------------
+# evaluation
+# --------------------------------------------------------------------------
+
+from marquee.operators import evaluate as ev  # noqa: E402
+
+_EVAL_SQL = (
+    _CAT_SQL
+    + ","
+    + _rec_sql(8, CANDIDATE_LIMIT)
+    + """,
+res AS (SELECT c.*, cat.tconst AS q FROM b_cases c LEFT JOIN cat ON cat.title = c.query),
+crec AS (
+  SELECT res.id, list(cat.title ORDER BY recs.rank) AS recs
+  FROM res JOIN recs ON recs.q = res.q AND recs.rank <= res.top_n JOIN cat ON cat.tconst = recs.c
+  GROUP BY res.id),
+cr AS (
+  SELECT res.id, res.query, res.top_n, res.expected_good, res.expected_bad, res.expected_error,
+         coalesce(crec.recs, []) AS recs,
+         CASE WHEN res.q IS NULL THEN 'This movie is not in the dataset.' END AS error
+  FROM res LEFT JOIN crec USING (id)),
+fin AS (
+  SELECT *,
+         list_filter(expected_good, lambda x: NOT list_contains(recs, x)) AS missing_good,
+         list_filter(expected_bad, lambda x: list_contains(recs, x)) AS present_bad,
+         coalesce(nullif(expected_error, '') IS NOT NULL AND error IS NOT NULL AND contains(error, expected_error), false) AS error_hit
+  FROM cr),
+fin2 AS (
+  SELECT *,
+         CASE WHEN nullif(expected_error, '') IS NOT NULL THEN error_hit AND len(recs) = 0
+              ELSE error IS NULL AND len(missing_good) = 0 AND len(present_bad) = 0 END AS passed
+  FROM fin)
+"""
+)
+
+
+def _eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles, terms = catalog_index(spark, sf_dir)
+    cases = b.eval_cases(spark, sf_dir)
+    return ev.case_results(cases, titles, terms, candidate_limit=CANDIDATE_LIMIT, max_top_n=8)
+
+
+@register(
+    "evaluate_cases",
+    _with(
+        _EVAL_SQL
+        + """
+SELECT id, query, top_n, array_to_string(recs, '|') AS recommendations, error,
+       array_to_string(missing_good, '|') AS missing_good, array_to_string(present_bad, '|') AS present_bad, passed
+FROM fin2"""
+    ),
+)
+def evaluate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _eval_results(spark, sf_dir)
+    return r.select(
+        "id",
+        "query",
+        "top_n",
+        F.array_join("recommendations", "|").alias("recommendations"),
+        "error",
+        F.array_join("missing_good", "|").alias("missing_good"),
+        F.array_join("present_bad", "|").alias("present_bad"),
+        "passed",
+    )
+
+
+@register(
+    "evaluate_report",
+    _with(
+        _EVAL_SQL
+        + """
+SELECT CAST(count(*) AS BIGINT) AS cases_total,
+       CAST(count(*) FILTER (WHERE passed) AS BIGINT) AS cases_passed,
+       CAST(sum(len(expected_good) - len(missing_good)) AS BIGINT) AS expected_good_hits,
+       CAST(sum(len(expected_good)) AS BIGINT) AS expected_good_total,
+       CAST(sum(len(expected_bad) - len(present_bad)) AS BIGINT) AS expected_bad_absent,
+       CAST(sum(len(expected_bad)) AS BIGINT) AS expected_bad_total,
+       CAST(count(*) FILTER (WHERE error_hit) AS BIGINT) AS expected_error_hits,
+       CAST(count(*) FILTER (WHERE nullif(expected_error, '') IS NOT NULL) AS BIGINT) AS expected_error_total,
+       coalesce(bool_and(passed), true) AS passed
+FROM fin2"""
+    ),
+)
+def evaluate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.report(_eval_results(spark, sf_dir))

@@ -101,6 +101,34 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def eval_cases(spark: SparkSession, sf_dir: str, lines_per_case: int = 8) -> DataFrame:
+    """Seed cases from orders: the first line's part name is the query, the
+    other lines' part names are expected (returned lines: expected absent);
+    ``top_n`` is the number of lines; finished orders expect the not-found
+    error. At most ``lines_per_case`` lines per order are used (map-side
+    WindowGroupLimit), so the per-case lists stay bounded.
+    """
+    from marquee.functions.scalars import NOT_FOUND_ERROR
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = li.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= lines_per_case).join(part, "l_partkey")
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rn", "p_name", "l_returnflag"))).alias("ls"))
+    rest = F.filter("ls", lambda x: x["rn"] > 1)
+    return per.join(orders, "l_orderkey").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"),
+        F.col("ls")[0]["p_name"].alias("query"),
+        F.size("ls").cast("int").alias("top_n"),
+        F.transform(F.filter(rest, lambda x: x["l_returnflag"] != "R"), lambda x: x["p_name"]).alias("expected_good"),
+        F.transform(F.filter(rest, lambda x: x["l_returnflag"] == "R"), lambda x: x["p_name"]).alias("expected_bad"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(NOT_FOUND_ERROR)).alias("expected_error"),
+        F.lit("").alias("failure_mode"),
+        F.lit("").alias("notes"),
+    )
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five source tables, keyed like the raw file set."""
     return {
@@ -144,5 +172,19 @@ b_crew AS (
   GROUP BY s.l_partkey, p.p_size),
 b_names AS (
   SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, s_name AS primaryName
-  FROM supplier WHERE s_acctbal >= 0)
+  FROM supplier WHERE s_acctbal >= 0),
+b_lines AS (
+  SELECT l.l_orderkey, l.rn, p.p_name, l.l_returnflag FROM (
+    SELECT l_orderkey, l_partkey, l_returnflag,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+    FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.rn <= 8),
+b_cases AS (
+  SELECT 'o' || CAST(o.o_orderkey AS VARCHAR) AS id,
+         max(CASE WHEN x.rn = 1 THEN x.p_name END) AS query,
+         CAST(count(*) AS INTEGER) AS top_n,
+         coalesce(list(x.p_name ORDER BY x.rn) FILTER (WHERE x.rn > 1 AND x.l_returnflag <> 'R'), []) AS expected_good,
+         coalesce(list(x.p_name ORDER BY x.rn) FILTER (WHERE x.rn > 1 AND x.l_returnflag = 'R'), []) AS expected_bad,
+         CASE WHEN o.o_orderstatus = 'F' THEN 'This movie is not in the dataset.' END AS expected_error
+  FROM b_lines x JOIN orders o ON o.o_orderkey = x.l_orderkey
+  GROUP BY o.o_orderkey, o.o_orderstatus)
 """
