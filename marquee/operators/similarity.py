@@ -85,12 +85,14 @@ def topk_shared(
     queries: DataFrame | None = None,
     hot_min_df: int = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Top ``k`` candidates per query item.
 
     ``feats``: distinct ``(id, feat, w)`` with ``w > 0``.
     ``items``: ``(id, score, title)`` for ``overlap``; ``(id)`` for ``cosine``.
     ``queries``: optional ``(id)`` restricting the query side.
+    ``carry``: further ``items`` columns copied to the output rows.
 
     Returns ``(q, c, dot, sim, rank, <candidate attributes>)``; ``sim`` is
     the cosine for ``cosine`` and equals ``dot`` for ``overlap``.
@@ -100,6 +102,7 @@ def topk_shared(
     if mode not in ("overlap", "cosine"):
         raise ValueError(f"unknown mode {mode!r}")
     attrs = ["score", "title"] if mode == "overlap" else []
+    attrs += [c for c in carry if c not in attrs]
     tagged = feature_table(feats.select("id", "feat", F.col("w").cast("bigint").alias("w")), hot_min_df)
 
     norms = tagged.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))

@@ -485,3 +485,65 @@ FROM fin2"""
 )
 def evaluate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.report(_eval_results(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# cosine recommendation
+# --------------------------------------------------------------------------
+
+from marquee.functions.text import default_stop_words  # noqa: E402
+from marquee.operators import cosine as co  # noqa: E402
+
+
+def _cosine_sql(n: int) -> str:
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in default_stop_words())
+    return (
+        _CAT_SQL
+        + f""",
+toks AS (
+  SELECT tconst, tok FROM (
+    SELECT tconst, unnest(regexp_split_to_array(lower(replace(v, ' ', '')), '[^a-zA-Z0-9_]+')) AS tok
+    FROM (SELECT tconst, unnest(list_concat(actors_l, [director, director], genres_l)) AS v FROM cat)
+    WHERE v IS NOT NULL)
+  WHERE length(tok) >= 2 AND tok NOT IN ({stop})),
+tf AS (SELECT tconst, tok, CAST(count(*) AS BIGINT) AS w FROM toks GROUP BY 1, 2),
+nrm AS (SELECT tconst, sum(w * w) AS n2 FROM tf GROUP BY 1),
+dots AS (
+  SELECT a.tconst AS q, b.tconst AS c, sum(a.w * b.w) AS dot
+  FROM tf a JOIN tf b USING (tok) WHERE a.tconst <> b.tconst GROUP BY 1, 2),
+sims AS (
+  SELECT q, c, dot / (sqrt(nq.n2) * sqrt(nc.n2)) AS sim
+  FROM dots JOIN nrm nq ON nq.tconst = dots.q JOIN nrm nc ON nc.tconst = dots.c),
+st1 AS (SELECT * FROM (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rk FROM sims) WHERE rk <= {n}),
+pool AS (SELECT tconst FROM cat ORDER BY tconst LIMIT {n + 1}),
+st2 AS (
+  SELECT r.tconst AS q, p.tconst AS c, row_number() OVER (PARTITION BY r.tconst ORDER BY p.tconst) AS rk
+  FROM cat r CROSS JOIN pool p
+  WHERE p.tconst <> r.tconst AND NOT EXISTS (SELECT 1 FROM st1 WHERE st1.q = r.tconst AND st1.c = p.tconst)),
+u AS (SELECT q, c, 1 AS stage, rk, sim, 'similar' AS source FROM st1
+      UNION ALL SELECT q, c, 2, rk, 0.0, 'zero' FROM st2),
+recs AS (
+  SELECT * FROM (
+    SELECT q, c, sim, source, CAST(row_number() OVER (PARTITION BY q ORDER BY stage, rk) AS INTEGER) AS rank FROM u)
+  WHERE rank <= {n})
+SELECT recs.q AS query_tconst, recs.rank, recs.c AS tconst, cat.title, round(recs.sim, 9) AS similarity, recs.source
+FROM recs JOIN cat ON cat.tconst = recs.c"""
+    )
+
+
+def _cosine(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    from marquee.plans.store import materialize
+
+    cat = materialize(curated_typed(spark, sf_dir).withColumn("score", r6("score")), "cosine-catalog")
+    r = co.cosine_recommend(cat, top_n=TOP_N, **kw)
+    return r.select("query_tconst", "rank", "tconst", "title", F.round("similarity", 9).alias("similarity"), "source")
+
+
+@register("cosine_recommend", _with(_cosine_sql(TOP_N)))
+def cosine_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cosine(spark, sf_dir)
+
+
+@register("cosine_recommend_hot_split", _with(_cosine_sql(TOP_N)))
+def cosine_recommend_hot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cosine(spark, sf_dir, hot_min_df=SPLIT_HOT_MIN_DF)
