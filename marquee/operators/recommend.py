@@ -136,7 +136,9 @@ def recommend(
     if lists is not None:
         per_q = per_q.join(lists, "q", "left")
     else:
-        per_q = per_q.withColumn("st1", F.lit(None))
+        per_q = per_q.withColumn(
+            "st1", F.lit(None).cast("array<struct<rank:int,tconst:string,title:string,score:double,overlap:bigint>>")
+        )
     st1_arr = F.coalesce(
         F.transform(
             F.col("st1"),
