@@ -547,3 +547,118 @@ def cosine_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("cosine_recommend_hot_split", _with(_cosine_sql(TOP_N)))
 def cosine_recommend_hot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosine(spark, sf_dir, hot_min_df=SPLIT_HOT_MIN_DF)
+
+
+# --------------------------------------------------------------------------
+# files: raw sources, curated CSV, inventory, fingerprint, staleness
+# --------------------------------------------------------------------------
+
+from marquee.session import scratch_path  # noqa: E402
+from marquee.sources import curated_io as cio  # noqa: E402
+from marquee.sources import inventory as inv  # noqa: E402
+from marquee.sources import raw  # noqa: E402
+
+
+def _written_sources(spark: SparkSession, sf_dir: str) -> str:
+    """The bound source tables written as tab-separated source files."""
+    folder = scratch_path(spark, "sources")
+    raw.write_sources(_sources(spark, sf_dir), folder)
+    return folder
+
+
+@register("curate_files_roundtrip", _with(_CURATED_SQL + """
+SELECT tconst, title, primary_title, director, director_ids, director_names, genres, score, cast_ids, actors
+FROM curated"""))
+def curate_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources → TSV files → the file job (read, curate, write CSV+Parquet)."""
+    from marquee.plans.jobs import curate_files
+
+    folder = _written_sources(spark, sf_dir)
+    res = curate_files(spark, folder, scratch_path(spark, "curated"), vote_quantile=VOTE_QUANTILE, min_votes=MIN_VOTES)
+    return curated_text(res.curated)
+
+
+@register("curated_csv_terms", _with(_CAT_SQL + "\nSELECT term, tconst FROM tt"))
+def curated_csv_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated → CSV with list literals → read back as text → index terms."""
+    path = cio.write_curated_csv(curated_typed(spark, sf_dir), scratch_path(spark, "curated-csv"))
+    _, terms = ix.build_index(cio.read_curated_csv(spark, path))
+    return terms
+
+
+@register(
+    "duplicate_title_check",
+    _with(_BASE_SQL + """
+SELECT primaryTitle AS title, CAST(count(*) AS BIGINT) AS title_count FROM scored GROUP BY primaryTitle HAVING count(*) > 1"""),
+)
+def duplicate_title_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = _sources(spark, sf_dir)
+    scored = cu.score_titles(cu.joined_movies(src["titles"], src["ratings"], src["crew"]), VOTE_QUANTILE, MIN_VOTES)
+    return ix.duplicate_titles(scored.select(F.col("primaryTitle").alias("title"), "genres", F.lit("").alias("director"), "score", F.lit("[]").alias("actors")))
+
+
+def _violation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in store input with defects: shorts carry no id, titles are the
+    raw part names, titles rated from fewer than 20 lines carry a non-number
+    score."""
+    t = b.titles(spark, sf_dir)
+    r = b.ratings(spark, sf_dir)
+    j = t.join(r, "tconst")
+    return j.select(
+        F.when(F.col("titleType") == "short", F.lit(None)).otherwise(F.col("tconst")).alias("tconst"),
+        F.col("primaryTitle").alias("title"),
+        F.lit("").alias("director"),
+        F.col("genres"),
+        F.when(F.col("numVotes") < 20, F.lit("n/a")).otherwise(F.col("averageRating").cast("string")).alias("score"),
+        F.lit("[]").alias("actors"),
+    )
+
+
+@register(
+    "score_violations",
+    _with(r"""
+vc AS (
+  SELECT CASE WHEN t.titleType = 'short' THEN NULL ELSE t.tconst END AS tconst, t.primaryTitle AS title,
+         CASE WHEN r.numVotes < 20 THEN 'n/a' ELSE CAST(r.averageRating AS VARCHAR) END AS score
+  FROM b_titles t JOIN b_ratings r USING (tconst)),
+cnt AS (SELECT title, count(*) AS n FROM vc GROUP BY title)
+SELECT 'duplicate_title_without_id' AS kind, vc.title,
+       'Dataset contains duplicate title values and no tconst values to disambiguate them.' AS detail
+FROM vc JOIN cnt USING (title) WHERE cnt.n > 1 AND vc.tconst IS NULL
+UNION ALL
+SELECT 'bad_score', title, 'score is not a number' FROM vc WHERE TRY_CAST(score AS DOUBLE) IS NULL"""),
+)
+def score_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.violations(_violation_catalog(spark, sf_dir)).select("kind", "title", "detail")
+
+
+@register("source_inventory")
+def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: the written source folder against the required manifest."""
+    folder = _written_sources(spark, sf_dir)
+    return inv.source_inventory(spark, folder).select("kind", "file_name", "action")
+
+
+@register("source_fingerprint")
+def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: path, size, mtime and SHA-256 of every curated CSV part."""
+    path = cio.write_curated_csv(curated_typed(spark, sf_dir), scratch_path(spark, "curated-csv"))
+    return inv.fingerprint(spark, path)
+
+
+@register("staleness")
+def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: a rewritten dataset against the stored fingerprint."""
+    path = cio.write_curated_csv(curated_typed(spark, sf_dir), scratch_path(spark, "curated-csv"))
+    stored_path = scratch_path(spark, "snapshots")
+    inv.fingerprint(spark, path).write.parquet(stored_path)
+    cio.write_curated_csv(curated_typed(spark, sf_dir).where(F.col("score") > 0), path)
+    return inv.staleness(inv.fingerprint(spark, path), spark.read.parquet(stored_path))
+
+
+@register("row_ids")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: ``row:N`` ids for a catalogue file written without ids."""
+    path = cio.write_curated_csv(curated_typed(spark, sf_dir).drop("tconst"), scratch_path(spark, "noid-csv"))
+    titles, _ = ix.build_index(cio.read_curated_csv(spark, path))
+    return titles.select("tconst", "title")
