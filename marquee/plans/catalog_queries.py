@@ -662,3 +662,165 @@ def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = cio.write_curated_csv(curated_typed(spark, sf_dir).drop("tconst"), scratch_path(spark, "noid-csv"))
     titles, _ = ix.build_index(cio.read_curated_csv(spark, path))
     return titles.select("tconst", "title")
+
+
+# --------------------------------------------------------------------------
+# serving contract (second tier): search, text features, credits, ids
+# --------------------------------------------------------------------------
+
+from marquee.operators import features as fe  # noqa: E402
+from marquee.operators import search as se_  # noqa: E402
+
+_TRGM_SQL = """
+list_distinct(flatten(list_transform(
+    list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''),
+    lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
+
+
+def _movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fe.movies_from_curated(curated_typed(spark, sf_dir))
+
+
+_MOVIES_SQL = r"""
+movies AS (
+  SELECT tconst, coalesce(primary_title, regexp_replace(title, ' \(tt[0-9]+\)$', '')) AS display_title,
+         primary_title, round(score, 6) AS weighted_score
+  FROM curated)
+"""
+
+
+@register(
+    "fuzzy_title_search",
+    _with(
+        _CURATED_SQL
+        + ","
+        + _MOVIES_SQL
+        + f""",
+req AS (SELECT DISTINCT p_name AS request_id, substring(p_name, 1, length(p_name) - 1) AS query FROM part),
+rg AS (SELECT request_id, query, {_TRGM_SQL.format(x='query')} AS g FROM req),
+mg AS (SELECT *, {_TRGM_SQL.format(x='display_title')} AS dg, {_TRGM_SQL.format(x='primary_title')} AS pg FROM movies),
+sims AS (
+  SELECT rg.request_id, rg.query, mg.tconst, mg.display_title, mg.primary_title, mg.weighted_score,
+         greatest(
+           CASE WHEN len(list_distinct(list_concat(dg, g))) = 0 THEN 0.0
+                ELSE len(list_intersect(dg, g)) / len(list_distinct(list_concat(dg, g))) END,
+           CASE WHEN len(list_distinct(list_concat(pg, g))) = 0 THEN 0.0
+                ELSE len(list_intersect(pg, g)) / len(list_distinct(list_concat(pg, g))) END) AS title_similarity
+  FROM rg CROSS JOIN mg),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY request_id
+             ORDER BY title_similarity DESC, weighted_score DESC NULLS LAST, display_title, tconst) AS INTEGER) AS rank
+  FROM sims WHERE title_similarity >= 0.3)
+SELECT request_id, query, rank, tconst, display_title, primary_title, weighted_score, round(title_similarity, 9) AS title_similarity
+FROM ranked WHERE rank <= 10"""
+    ),
+)
+def fuzzy_title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct part name, last letter dropped, searched over the
+    served movies (display title from the backfill rule)."""
+    movies = _movies(spark, sf_dir).withColumn("weighted_score", r6("weighted_score"))
+    part = b.table(spark, sf_dir, "part")
+    req = part.select(
+        F.col("p_name").alias("request_id"), F.expr("substring(p_name, 1, length(p_name) - 1)").alias("query")
+    ).distinct()
+    r = se_.fuzzy_title_search(movies, req, threshold=0.3, limit=10)
+    return r.withColumn("title_similarity", F.round("title_similarity", 9))
+
+
+_SOUP_SQL = r"""
+soup AS (
+  SELECT tconst,
+         concat_ws(' | ',
+           trim(regexp_replace(lower(primary_title), '\s+', ' ', 'g')),
+           array_to_string(list_transform(genres_l, lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), ', '),
+           array_to_string(list_transform(list_filter(director_names_l[1:3], lambda x: x IS NOT NULL),
+                                          lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), ', '),
+           array_to_string(list_transform(list_filter(actors_l[1:5], lambda x: x IS NOT NULL),
+                                          lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), ', ')) AS source_text
+  FROM curated2)
+"""
+
+_CURATED2_SQL = (
+    _CURATED_SQL
+    + """,
+curated2 AS (
+  SELECT c.*, coalesce(d.director_names_l, []) AS director_names_l
+  FROM curated c LEFT JOIN d_lists d USING (tconst))
+"""
+)
+
+
+@register(
+    "text_feature_soup",
+    _with(
+        _CURATED2_SQL
+        + ","
+        + _SOUP_SQL
+        + """
+SELECT tconst, 'recommendation_soup' AS feature_name, 'v1' AS feature_version, source_text,
+       sha256(source_text) AS source_text_sha256
+FROM soup"""
+    ),
+)
+def text_feature_soup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fe.recommendation_soup(curated_typed(spark, sf_dir)).drop("build_method")
+
+
+@register(
+    "strip_title_suffix",
+    _with(
+        _CURATED_SQL
+        + r"""
+SELECT tconst, title, regexp_replace(title, ' \(tt[0-9]+\)$', '') AS display_title FROM curated"""
+    ),
+)
+def strip_title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = curated_typed(spark, sf_dir)
+    return c.select("tconst", "title", fe.strip_title_suffix("title").alias("display_title"))
+
+
+@register(
+    "credits_union",
+    _with(
+        r"""
+cd AS (
+  SELECT tconst, unnest(ids) AS nconst, generate_subscripts(ids, 1) AS credit_order FROM (
+    SELECT tconst, CASE WHEN directors IS NULL OR directors = '\N' THEN []
+                        ELSE list_filter(string_split(directors, ','), lambda x: x <> '' AND x <> '\N') END AS ids
+    FROM b_crew)),
+d AS (SELECT tconst, nconst, 'director' AS role_type, CAST(credit_order AS BIGINT) AS credit_order, 'crew' AS source FROM cd),
+p AS (
+  SELECT p.tconst, p.nconst, p.category AS role_type, CAST(p.ordering AS BIGINT) AS credit_order, 'principals' AS source
+  FROM b_principals p
+  WHERE p.nconst IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM d WHERE d.tconst = p.tconst AND d.nconst = p.nconst AND d.role_type = p.category)),
+u AS (SELECT * FROM d UNION ALL SELECT * FROM p)
+SELECT DISTINCT ON (tconst, nconst, role_type, credit_order) tconst, nconst, role_type, credit_order, source FROM u"""
+    ),
+)
+def credits_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = _sources(spark, sf_dir)
+    return fe.credits(src["crew"], src["principals"])
+
+
+@register(
+    "id_validation",
+    _with(
+        _BASE_SQL
+        + """,
+ids AS (
+  SELECT tconst AS id FROM scored
+  UNION ALL SELECT 'row:' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'PROMO')
+SELECT id, coalesce(regexp_matches(id, '^tt[0-9]+$'), false) AS accepted FROM ids"""
+    ),
+)
+def id_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store ids to backfill: curated ids plus synthetic ``row:N`` ids of
+    shorts (as a store built without ids would carry)."""
+    src = _sources(spark, sf_dir)
+    scored = cu.score_titles(cu.joined_movies(src["titles"], src["ratings"], src["crew"]), VOTE_QUANTILE, MIN_VOTES)
+    part = b.table(spark, sf_dir, "part")
+    ids = scored.select("tconst").unionByName(
+        part.where(F.col("p_type") == "PROMO").select(F.concat(F.lit("row:"), F.col("p_partkey").cast("string")).alias("tconst"))
+    )
+    return fe.validate_ids(ids)
