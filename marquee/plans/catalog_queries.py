@@ -824,3 +824,134 @@ def id_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.where(F.col("p_type") == "PROMO").select(F.concat(F.lit("row:"), F.col("p_partkey").cast("string")).alias("tconst"))
     )
     return fe.validate_ids(ids)
+
+
+# --------------------------------------------------------------------------
+# vectors
+# --------------------------------------------------------------------------
+
+from marquee.operators import vectors as vx  # noqa: E402
+
+VECTOR_DIM = 64
+
+_VEC_SQL = """
+u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+nrm AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM u GROUP BY 1),
+dots AS (
+  SELECT a.vec_id AS q, b.vec_id AS c, sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) AS dot
+  FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+dist AS (
+  SELECT dots.q, dots.c, 1.0 - dot / (nq.n * nc.n) AS distance
+  FROM dots JOIN nrm nq ON nq.vec_id = dots.q JOIN nrm nc ON nc.vec_id = dots.c
+  WHERE nq.n > 0 AND nc.n > 0)
+"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("id"), "embedding", "label")
+
+
+@register(
+    "vector_topk",
+    "WITH "
+    + _VEC_SQL.strip()
+    + """,
+r AS (SELECT q, c, distance, row_number() OVER (PARTITION BY q ORDER BY distance, CAST(c AS VARCHAR)) AS rank FROM dist)
+SELECT CAST(q AS VARCHAR) AS q, CAST(c AS VARCHAR) AS c, CAST(rank AS INTEGER) AS rank, round(distance, 9) AS distance
+FROM r WHERE rank <= 10""",
+)
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = vx.vector_topk(_vectors(spark, sf_dir), k=10, block_rows=256)
+    return r.select("q", "c", "rank", F.round("distance", 9).alias("distance"))
+
+
+@register(
+    "vector_rerank_label",
+    "WITH "
+    + _VEC_SQL.strip()
+    + """,
+r AS (SELECT q, c, distance, row_number() OVER (PARTITION BY q ORDER BY distance, CAST(c AS VARCHAR)) AS rank FROM dist),
+cand AS (SELECT r.*, (lq.label = lc.label) AS same_label FROM r
+         JOIN (SELECT DISTINCT vec_id, label FROM embeddings) lq ON lq.vec_id = r.q
+         JOIN (SELECT DISTINCT vec_id, label FROM embeddings) lc ON lc.vec_id = r.c
+         WHERE rank <= 50),
+rr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY same_label DESC, distance, CAST(c AS VARCHAR)) AS rerank FROM cand)
+SELECT CAST(q AS VARCHAR) AS q, CAST(c AS VARCHAR) AS c, CAST(rerank AS INTEGER) AS rerank, same_label, round(distance, 9) AS distance
+FROM rr WHERE rerank <= 10""",
+)
+def vector_rerank_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded vector candidates (50) re-ranked by label agreement."""
+    v = _vectors(spark, sf_dir)
+    cands = vx.vector_topk(v, k=50, block_rows=256)
+    labels = v.select("id", "label")
+    j = cands.join(labels.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").join(
+        labels.select(F.col("id").alias("c"), F.col("label").alias("cl")), "c"
+    )
+    j = j.withColumn("same_label", F.col("ql") == F.col("cl"))
+    r = vx.rerank_by_metadata(j, F.col("same_label"), 10)
+    return r.select("q", "c", F.col("rerank").cast("int"), "same_label", F.round("distance", 9).alias("distance"))
+
+
+@register(
+    "embedding_integrity",
+    f"""SELECT CAST(vec_id AS VARCHAR) AS id, 'dimension' AS problem FROM embeddings
+WHERE embedding IS NULL OR len(embedding) <> {VECTOR_DIM} OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))""",
+)
+def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vx.embedding_integrity(_vectors(spark, sf_dir), VECTOR_DIM)
+
+
+# Embedding slice binding: every driver embedding belongs to one configured
+# model; vector ``vec_id`` is the part key of its title.
+EMB_MODEL = ("configured-model", "v1", VECTOR_DIM)
+
+
+def _title_embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = b.table(spark, sf_dir, "embeddings")
+    emb = e.select(
+        F.concat(F.lit("tt"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("tconst"),
+        "embedding",
+        F.lit(EMB_MODEL[0]).alias("model_name"),
+        F.lit(EMB_MODEL[1]).alias("model_version"),
+        F.lit(EMB_MODEL[2]).alias("vector_dimension"),
+        F.lit(True).alias("active"),
+    )
+    config = spark.createDataFrame([EMB_MODEL], "model_name string, model_version string, vector_dimension int")
+    return emb, config
+
+
+@register(
+    "embedding_fallback",
+    _with(
+        _CAT_SQL
+        + ","
+        + _rec_sql(TOP_N, CANDIDATE_LIMIT)
+        + """,
+emb AS (SELECT 'tt' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS tconst, embedding FROM embeddings),
+ve AS (SELECT emb.tconst, emb.embedding, cat.title, cat.score FROM emb JOIN cat USING (tconst)),
+vu AS (SELECT tconst, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM ve),
+vn AS (SELECT tconst, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM vu GROUP BY 1),
+vd AS (
+  SELECT a.tconst AS q, b.tconst AS c, sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)) AS dot
+  FROM vu a JOIN vu b ON a.i = b.i AND a.tconst <> b.tconst GROUP BY 1, 2),
+vdist AS (
+  SELECT vd.q, vd.c, 1.0 - dot / (nq.n * nc.n) AS distance, ve.title, ve.score
+  FROM vd JOIN vn nq ON nq.tconst = vd.q JOIN vn nc ON nc.tconst = vd.c JOIN ve ON ve.tconst = vd.c
+  WHERE nq.n > 0 AND nc.n > 0),
+vr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, score DESC NULLS LAST, title, c) AS rank FROM vdist)
+SELECT q AS query_tconst, CAST(rank AS INTEGER) AS rank, c AS tconst, title, 'vector' AS source, round(distance, 9) AS distance
+FROM vr WHERE rank <= 10
+UNION ALL
+SELECT recs.q, recs.rank, recs.c, cat.title, recs.source, NULL
+FROM recs JOIN cat ON cat.tconst = recs.c
+WHERE recs.q NOT IN (SELECT tconst FROM ve)"""
+    ),
+)
+def embedding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.plans.serving import recommend_with_fallback
+
+    titles, terms = catalog_index(spark, sf_dir)
+    emb, config = _title_embeddings(spark, sf_dir)
+    r = recommend_with_fallback(titles, terms, emb, config, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT, block_rows=256)
+    return r.withColumn("distance", F.round("distance", 9))
