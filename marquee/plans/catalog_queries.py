@@ -955,3 +955,115 @@ def embedding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb, config = _title_embeddings(spark, sf_dir)
     r = recommend_with_fallback(titles, terms, emb, config, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT, block_rows=256)
     return r.withColumn("distance", F.round("distance", 9))
+
+
+# --------------------------------------------------------------------------
+# upserts, provenance, external ids, feature versions
+# --------------------------------------------------------------------------
+
+from marquee.operators import lineage as ln  # noqa: E402
+
+
+@register(
+    "upsert_latest",
+    """
+WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn,
+         min(ts) OVER (PARTITION BY user_id, event_type) AS first_seen,
+         max(ts) OVER (PARTITION BY user_id, event_type) AS last_seen,
+         count(*) OVER (PARTITION BY user_id, event_type) AS versions
+  FROM events)
+SELECT user_id, event_type, event_id, ts, round(value, 6) AS value, props, first_seen, last_seen,
+       CAST(versions AS BIGINT) AS versions, true AS active
+FROM r WHERE rn = 1""",
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events keyed by (user, event type), loaded in two batches (before and
+    after the median time); the latest row by time wins."""
+    ev_ = b.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    mid = ev_.select(F.percentile(micros, 0.5).alias("m")).scalar()
+    first = ev_.where(micros <= mid)
+    second = ev_.where(micros > mid)
+    out = ln.upsert_latest(first, second, ["user_id", "event_type"], ["ts", "event_id"])
+    return out.select(
+        "user_id", "event_type", "event_id", "ts", F.round("value", 6).alias("value"), "props", "first_seen", "last_seen", "versions", "active"
+    )
+
+
+@register(
+    "row_hash_provenance",
+    _with(
+        _CURATED_SQL
+        + """
+SELECT 'movies' AS table_name, tconst AS entity_key,
+       sha256(concat_ws(chr(31), coalesce(tconst, '\\N'), coalesce(title, '\\N'), coalesce(primary_title, '\\N'),
+                        coalesce(director, '\\N'), coalesce(CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), '\\N'))) AS source_row_sha256,
+       CAST(1 AS BIGINT) AS etl_run_id
+FROM curated"""
+    ),
+)
+def row_hash_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = curated_typed(spark, sf_dir).withColumn("score_micros", F.round(F.col("score") * 1000000).cast("bigint"))
+    p = ln.row_provenance(c, "movies", ["tconst"], ["tconst", "title", "primary_title", "director", "score_micros"], 0, 1)
+    return p.select("table_name", "entity_key", "source_row_sha256", "etl_run_id")
+
+
+@register(
+    "external_id_resolve",
+    """
+WITH bridge AS (SELECT 'part' AS source_name, CAST(p_partkey AS VARCHAR) AS source_id,
+                       'tt' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS tconst FROM part),
+rows AS (SELECT 'part' AS source_name, CAST(vec_id AS VARCHAR) AS source_id, vec_id FROM embeddings)
+SELECT rows.vec_id, rows.source_id, bridge.tconst, bridge.tconst IS NOT NULL AS resolved
+FROM rows LEFT JOIN bridge USING (source_name, source_id)""",
+)
+def external_id_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding rows carry a part id as external id; the bridge maps part
+    ids to title ids."""
+    part = b.table(spark, sf_dir, "part")
+    bridge = part.select(
+        F.lit("part").alias("source_name"),
+        F.col("p_partkey").cast("string").alias("source_id"),
+        F.concat(F.lit("tt"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("tconst"),
+    )
+    rows = b.table(spark, sf_dir, "embeddings").select(
+        F.lit("part").alias("source_name"), F.col("vec_id").cast("string").alias("source_id"), "vec_id"
+    )
+    return ln.resolve_external_ids(rows, bridge).select("vec_id", "source_id", "tconst", "resolved")
+
+
+@register("snapshot_run_trace")
+def snapshot_run_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: written source files registered as snapshots of run 1,
+    the curated movies' provenance, traced back from the run."""
+    folder = _written_sources(spark, sf_dir)
+    fps = inv.fingerprint(spark, f"{folder}/title.basics.tsv")
+    snaps = ln.register_snapshots(fps, "raw_tsv", "title.basics", "2026-01-01")
+    _, bridge = ln.run_log(snaps, 1, "raw_load")
+    movies = curated_typed(spark, sf_dir)
+    sid = snaps.agg(F.min("source_snapshot_id")).scalar()
+    prov = ln.row_provenance(movies, "movies", ["tconst"], ["tconst", "title", "score"], sid, 1)
+    return ln.run_trace(1, bridge, snaps, prov)
+
+
+@register("text_feature_versions")
+def text_feature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: soup features built twice - run 2 sees a names table that
+    also holds the previously missing people - then one active row per
+    feature contract."""
+    src = _sources(spark, sf_dir)
+    run1 = fe.recommendation_soup(curated_typed(spark, sf_dir))
+    sup = b.table(spark, sf_dir, "supplier")
+    names2 = sup.select(F.concat(F.lit("nm"), F.col("s_suppkey").cast("string")).alias("nconst"), F.col("s_name").alias("primaryName"))
+    cur2 = cu.curate(src["titles"], src["crew"], src["ratings"], names2, src["principals"], vote_quantile=VOTE_QUANTILE, min_votes=MIN_VOTES, sort=False)
+    run2 = fe.recommendation_soup(cur2)
+    v1 = fe.add_feature_run(None, run1, 1)
+    v2 = fe.add_feature_run(v1, run2, 2)
+    return v2.select("tconst", "feature_name", "feature_version", "source_text_sha256", "source_etl_run_id", "active")
+
+
+@register("one_active_check")
+def one_active_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only (expected empty): contracts with more than one active row."""
+    return fe.one_active_violations(text_feature_versions(spark, sf_dir))
