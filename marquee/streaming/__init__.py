@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The catalogue workload has no streams, event time, watermarks or state: the
+source files are batch snapshots and "streaming" in the original design only
+meant chunked file reads, which Spark's file splits replace. A changed
+source is handled by fingerprint-based staleness (``marquee.sources.inventory``
+and ``marquee.plans.jobs.build_store_if_stale``), not by a running query.
+"""
