@@ -117,6 +117,26 @@ def violations(catalog: DataFrame) -> DataFrame:
     return dup_no_id.unionByName(null_title).unionByName(bad_score).unionByName(dup_id)
 
 
+def accepted_rows(catalog: DataFrame) -> DataFrame:
+    """Prepared rows the store accepts: non-null title and score, and no
+    duplicate title without an id."""
+    t = _with_titles(prepare_catalog(catalog))
+    return t.where(
+        F.col("raw_title").isNotNull()
+        & F.col("score").isNotNull()
+        & ~((F.col("title_count") > 1) & (F.col("tconst_raw").isNull() | (F.col("tconst_raw") == "")))
+    ).select(*TITLE_COLUMNS, "director_values")
+
+
+def index_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(titles, title_terms)`` from :func:`accepted_rows` output."""
+    titles = rows.select(*TITLE_COLUMNS)
+    terms = rows.select(
+        "tconst", F.explode(terms_of(F.col("actors"), F.col("director_values"), F.col("genres"))).alias("term")
+    ).select("term", "tconst")
+    return titles, terms
+
+
 def build_index(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(titles, title_terms)``.
 
@@ -125,15 +145,7 @@ def build_index(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     duplicate title without an id). ``title_terms``: distinct ``(term,
     tconst)`` from actors, director values and genres in one namespace.
     """
-    t = _with_titles(prepare_catalog(catalog))
-    ok = t.where(
-        F.col("raw_title").isNotNull()
-        & F.col("score").isNotNull()
-        & ~((F.col("title_count") > 1) & (F.col("tconst_raw").isNull() | (F.col("tconst_raw") == "")))
-    )
-    titles = ok.select(*TITLE_COLUMNS)
-    terms = ok.select("tconst", F.explode(terms_of(F.col("actors"), F.col("director_values"), F.col("genres"))).alias("term")).select("term", "tconst")
-    return titles, terms
+    return index_tables(accepted_rows(catalog))
 
 
 def duplicate_titles(catalog: DataFrame) -> DataFrame:

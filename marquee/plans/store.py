@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from marquee.operators.index import build_index
+from marquee.operators.index import accepted_rows, index_tables
 from marquee.session import scratch_path
 
 
@@ -35,7 +35,10 @@ def build_store(catalog: DataFrame, path: str | None = None) -> tuple[DataFrame,
     """
     spark = catalog.sparkSession
     base = path or scratch_path(spark, "store")
-    titles, terms = build_index(catalog)
+    # one pass over the (possibly expensive) catalogue plan; both tables are
+    # derived from the written rows
+    rows = write_table(accepted_rows(catalog), f"{base}/_accepted")
+    titles, terms = index_tables(rows)
     titles_t = write_table(titles, f"{base}/titles")
     terms_t = write_table(terms, f"{base}/title_terms", sort_within=["term"])
     return titles_t, terms_t
