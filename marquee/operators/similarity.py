@@ -41,6 +41,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.session import materialize
+
 DEFAULT_HOT_MIN_DF = 256
 DEFAULT_MAX_HOT = 10
 
@@ -86,6 +88,7 @@ def topk_shared(
     hot_min_df: int = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
     carry: tuple[str, ...] = (),
+    materialize_inputs: bool = False,
 ) -> DataFrame:
     """Top ``k`` candidates per query item.
 
@@ -93,6 +96,11 @@ def topk_shared(
     ``items``: ``(id, score, title)`` for ``overlap``; ``(id)`` for ``cosine``.
     ``queries``: optional ``(id)`` restricting the query side.
     ``carry``: further ``items`` columns copied to the output rows.
+    ``materialize_inputs``: write the tagged feature table and the item
+    table (hot vector, norm) once to the shared scratch folder so every
+    branch starts from those scans. Off by default: within one query the
+    identical sub-plans already share their shuffles (exchange reuse), and
+    measured at sf0.1 the extra writes cost more than they save.
 
     Returns ``(q, c, dot, sim, rank, <candidate attributes>)``; ``sim`` is
     the cosine for ``cosine`` and equals ``dot`` for ``overlap``.
@@ -113,6 +121,9 @@ def topk_shared(
         .join(hv, "id", "left")
         .withColumn("hv", F.coalesce(F.col("hv"), F.array().cast(_HV_TYPE)))
     )
+    if materialize_inputs:
+        tagged = materialize(tagged, "topk-feats")
+        it = materialize(it, "topk-items")
     qit = it if queries is None else it.join(queries.select("id"), "id", "left_semi")
 
     cand_cols = ["c", *attrs, "c_n2", "hc"]

@@ -12,19 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from marquee.operators.index import accepted_rows, index_tables
-from marquee.session import scratch_path
-
-
-def write_table(df: DataFrame, path: str, sort_within: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet at ``path`` and return the scan of it."""
-    out = df.sortWithinPartitions(*sort_within) if sort_within else df
-    out.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to a fresh shared scratch folder and read back (lineage cut)."""
-    return write_table(df, scratch_path(df.sparkSession, name))
+from marquee.session import materialize, scratch_path, write_table  # noqa: F401
 
 
 def build_store(catalog: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:

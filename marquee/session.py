@@ -72,6 +72,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_table(df: DataFrame, path: str, sort_within: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet at ``path`` and return the scan of it."""
+    out = df.sortWithinPartitions(*sort_within) if sort_within else df
+    out.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to a fresh folder under the shared checkpoint folder and read it
+    back: a lineage cut that survives executor loss, and a single
+    evaluation of an expensive plan that several branches reuse."""
+    return write_table(df, scratch_path(df.sparkSession, name))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
@@ -88,6 +102,8 @@ __all__ = [
     "checkpoint_dir",
     "scratch_path",
     "cut_lineage",
+    "write_table",
+    "materialize",
     "local_fs_path",
     "DEFAULT_CONF",
 ]
