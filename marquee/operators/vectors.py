@@ -135,12 +135,16 @@ def active_slice(embeddings: DataFrame, config: DataFrame) -> DataFrame:
     """Embeddings of the configured model/version/dimension slice.
 
     ``config`` is a one-row frame ``(model_name, model_version,
-    vector_dimension)``; it is broadcast (one row, size bound known) and the
+    vector_dimension)`` evaluated once as a scalar subquery (no join); the
     model is never chosen as "latest row".
     """
     keys = ["model_name", "model_version", "vector_dimension"]
+    cfg = config.select(F.struct(*keys).alias("cfg")).limit(1).scalar()
     e = embeddings.where(F.col("active")) if "active" in embeddings.columns else embeddings
-    return e.join(F.broadcast(config.select(*keys).limit(1)), keys).where(F.size("embedding") == F.col("vector_dimension"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(k) == cfg.getField(k))
+    return e.where(cond & (F.size("embedding") == F.col("vector_dimension")))
 
 
 def rerank_by_metadata(cands: DataFrame, meta_match: F.Column, k: int) -> DataFrame:
