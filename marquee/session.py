@@ -49,21 +49,30 @@ def get_session(
     return spark
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there; it is used as is.
-    Only when it is unset (local tests) is a fresh local folder created and
-    registered, so executors and the driver agree on the location.
+    Only when it is unset (local tests) is a local folder created, once per
+    application, and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="marquee-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        app = sc.applicationId
+        if app not in _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="marquee-ckpt-")
+        configured = _LOCAL_FALLBACK[app]
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - core confs may be read-only at runtime
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
