@@ -54,6 +54,14 @@ def fuzzy_title_search(
 
     Returns ``request_id, query, rank, tconst, display_title,
     primary_title, weighted_score, title_similarity``.
+
+    Identical strings are handled once: similarity is computed between
+    *distinct* trigram sets (requests and titles), and every title set keeps
+    only its best ``limit`` titles in the final tie order (score desc,
+    display title, id) before expansion. A title outside its set's best
+    ``limit`` is beaten by ``limit`` titles with at least its similarity, so
+    the result is exact while a title string shared by millions of rows costs
+    ``limit`` rows per matching request.
     """
     if not (0.0 < threshold <= 1.0):
         raise ValueError("threshold must be in (0, 1]")
@@ -65,29 +73,29 @@ def fuzzy_title_search(
         )
     m = movies.where(F.col("active")) if "active" in movies.columns else movies
     m = m.select("tconst", "display_title", "primary_title", "weighted_score")
-    fields = m.select("tconst", F.lit("d").alias("field"), trigrams(F.col("display_title")).alias("grams")).unionByName(
-        m.select("tconst", F.lit("p").alias("field"), trigrams(F.col("primary_title")).alias("grams"))
+    fields = m.select("tconst", trigrams(F.col("display_title")).alias("grams")).unionByName(
+        m.select("tconst", trigrams(F.col("primary_title")).alias("grams"))
     )
-    fields = fields.where(F.size("grams") > 0)
-    df = fields.select("tconst", F.explode("grams").alias("g")).distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    req = requests.select(F.col("request_id").cast("string"), F.col("query").cast("string")).withColumn(
-        "rgrams", trigrams(F.col("query"))
+    fields = fields.where(F.size("grams") > 0).select("tconst", F.array_sort("grams").alias("grams"))
+    # distinct title sets and, per set, its best `limit` titles (map-side cut)
+    attrs = m.select("tconst", "display_title", "weighted_score")
+    members = fields.dropDuplicates(["grams", "tconst"]).join(attrs, "tconst")
+    w_set = Window.partitionBy("grams").orderBy(
+        F.col("weighted_score").desc_nulls_last(), F.col("display_title").asc(), F.col("tconst").asc()
     )
-    rp = _prefixes(req.where(F.size("rgrams") > 0).withColumnRenamed("rgrams", "grams"), ["request_id"], df, threshold)
-    tp = _prefixes(fields, ["tconst", "field"], df, threshold)
-    cand = rp.join(tp, "g").select("request_id", "tconst").distinct()
-    grams = m.select(
-        "tconst",
-        "display_title",
-        "primary_title",
-        "weighted_score",
-        trigrams(F.col("display_title")).alias("dg"),
-        trigrams(F.col("primary_title")).alias("pg"),
+    best = members.withColumn("rn", F.row_number().over(w_set)).where(F.col("rn") <= limit).select("grams", "tconst")
+    tsets = fields.select("grams").distinct()
+    df = tsets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    req = requests.select(
+        F.col("request_id").cast("string"), F.col("query").cast("string"), F.array_sort(trigrams(F.col("query"))).alias("rgrams")
     )
-    scored = cand.join(req, "request_id").join(grams, "tconst")
-    scored = scored.withColumn(
-        "title_similarity", F.greatest(jaccard(F.col("dg"), F.col("rgrams")), jaccard(F.col("pg"), F.col("rgrams")))
-    ).where(F.col("title_similarity") >= F.lit(float(threshold)))
+    rsets = req.where(F.size("rgrams") > 0).select(F.col("rgrams").alias("grams")).distinct()
+    rp = _prefixes(rsets, ["grams"], df, threshold).withColumnRenamed("grams", "rgrams")
+    tp = _prefixes(tsets, ["grams"], df, threshold)
+    pairs = rp.join(tp, "g").select("rgrams", "grams").distinct()
+    pairs = pairs.withColumn("sim", jaccard(F.col("grams"), F.col("rgrams"))).where(F.col("sim") >= F.lit(float(threshold)))
+    hits = pairs.join(best, "grams").groupBy("rgrams", "tconst").agg(F.max("sim").alias("title_similarity"))
+    scored = req.join(hits, "rgrams").join(m, "tconst")
     w = Window.partitionBy("request_id").orderBy(
         F.col("title_similarity").desc(),
         F.col("weighted_score").desc_nulls_last(),
