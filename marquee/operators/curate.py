@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.session import materialize
 from marquee.functions.scalars import (
     EMPTY_STRING_ARRAY,
     disambiguated_title,
@@ -168,13 +169,22 @@ def curate(
     vote_quantile: float | None = DEFAULT_VOTE_QUANTILE,
     min_votes: int | None = DEFAULT_MIN_VOTES,
     sort: bool = True,
+    materialize_survivors: bool = True,
 ) -> DataFrame:
     """The curated catalogue with the fixed 10-column layout.
 
     Sorted by score descending (nulls last) then ``tconst`` when ``sort``.
+
+    The surviving scored titles feed four branches (director lists, cast
+    lists, duplicate counts, the output). With ``materialize_survivors``
+    they are written once to the shared checkpoint folder (one job runs the
+    three-way join and the threshold subquery); every branch then scans that
+    small table instead of re-running the joins over the full inputs.
     """
     scored = score_titles(joined_movies(titles, ratings, crew), vote_quantile, min_votes)
-    scored = scored.withColumn("genres", split_genres("genres"))
+    scored = scored.select("tconst", "primaryTitle", split_genres("genres").alias("genres"), "score")
+    if materialize_survivors:
+        scored = materialize(scored, "curate-survivors")
     keep = scored.select("tconst")
     directors = director_lists(crew.join(keep, "tconst", "left_semi"), names)
     cast = cast_lists(principals, names, keep=keep)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -14,6 +15,15 @@ from marquee.sources.inventory import fingerprint, is_stale
 from marquee.sources.raw import load_sources
 
 
+logger = logging.getLogger(__name__)
+
+
+def retained_message(vote_quantile: float | None, min_votes: int | None) -> str:
+    """Run message naming the retained share (``(1 - quantile) * 100`` %)."""
+    share = round((1 - vote_quantile) * 100) if vote_quantile is not None else "all"
+    return f"Reducing data to {share}% of most popular movies with at least {min_votes} votes."
+
+
 @dataclass
 class CurateResult:
     csv_path: str
@@ -36,6 +46,7 @@ def curate_files(
     The curated frame feeds two writes, so it is persisted once
     (memory and disk; a lost block is recomputed from the lineage).
     """
+    logger.info(retained_message(vote_quantile, min_votes))
     src = load_sources(spark, in_dir, min_partitions)
     curated = curate_sources(src, vote_quantile=vote_quantile, min_votes=min_votes, sort=True)
     curated = curated.persist(StorageLevel.MEMORY_AND_DISK)

@@ -62,6 +62,16 @@ def size_violations(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE
     )
 
 
+def check_size_cap(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES) -> None:
+    """Fail closed: raise when any listed file exceeds the cap (one count
+    reaches the driver; the comparison runs as a job)."""
+    over = size_violations(inventory, max_file_bytes)
+    n = over.count()
+    if n:
+        names = [r["file_name"] for r in over.select("file_name").limit(10).collect()]
+        raise ValueError(f"{n} source file(s) exceed {max_file_bytes} bytes: {', '.join(names)}")
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """``(source_path, source_size, source_mtime, source_sha256)`` per file
     under ``path`` (a file or a folder of part files)."""

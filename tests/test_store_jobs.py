@@ -79,3 +79,19 @@ def test_report_lines_text(spark, eval_catalog):
         "  failure mode: fm",
     ]
     assert text["c2"].splitlines()[:2] == ["[PASS] c2: Nope", "  error: This movie is not in the dataset."]
+
+
+def test_size_cap_fails_closed_and_message(spark, tmp_path):
+    import pytest
+
+    from marquee.plans.jobs import retained_message
+    from marquee.sources.inventory import check_size_cap, source_inventory
+
+    (tmp_path / "title.basics.tsv.gz").write_bytes(b"x" * 100)
+    inv = source_inventory(spark, str(tmp_path))
+    acts = {r["file_name"]: r["action"] for r in inv.collect()}
+    assert acts["title.basics.tsv.gz"] == "skip" and acts["name.basics.tsv.gz"] == "download"
+    check_size_cap(inv, 1000)
+    with pytest.raises(ValueError, match="exceed 50 bytes"):
+        check_size_cap(inv, 50)
+    assert retained_message(0.9, 1000) == "Reducing data to 10% of most popular movies with at least 1000 votes."
