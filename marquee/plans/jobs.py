@@ -20,7 +20,9 @@ logger = logging.getLogger(__name__)
 
 def retained_message(vote_quantile: float | None, min_votes: int | None) -> str:
     """Run message naming the retained share (``(1 - quantile) * 100`` %)."""
-    share = round((1 - vote_quantile) * 100) if vote_quantile is not None else "all"
+    if vote_quantile is None:
+        return f"curate: keeping all movies (minimum votes: {min_votes})"
+    share = round((1 - vote_quantile) * 100)
     return f"curate: keeping the top {share}% of movies by vote count (minimum votes: {min_votes})"
 
 

@@ -95,4 +95,4 @@ def test_size_cap_fails_closed_and_message(spark, tmp_path):
     with pytest.raises(ValueError, match="exceed 50 bytes"):
         check_size_cap(inv, 50)
     assert retained_message(0.9, 1000) == "curate: keeping the top 10% of movies by vote count (minimum votes: 1000)"
-    assert retained_message(None, 5) == "curate: keeping the top all% of movies by vote count (minimum votes: 5)"
+    assert retained_message(None, 5) == "curate: keeping all movies (minimum votes: 5)"
