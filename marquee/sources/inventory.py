@@ -30,23 +30,38 @@ def manifest(spark: SparkSession, base_url: str = DEFAULT_BASE_URL, in_dir: str
     )
 
 
-def listing(spark: SparkSession, in_dir: str, glob: str = "*") -> DataFrame:
-    """``(path, file_name, length, modification_time)`` of files in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(in_dir)
-    return files.select(
-        "path",
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        "length",
-        F.col("modificationTime").alias("modification_time"),
+def listing(spark: SparkSession, in_dir: str) -> DataFrame:
+    """``(entry_name, length, modification_time, files)`` per top-level entry
+    of a folder: a plain file, or a folder of part files (summed)."""
+    base = in_dir.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    local = base.split("://", 1)[-1]
+    local = local[5:] if local.startswith("file:") else local
+    rel = F.regexp_extract(F.col("path"), r"^.*?" + _escape(local) + r"/([^/]+)", 1)
+    return (
+        files.select(rel.alias("entry_name"), "length", F.col("modificationTime").alias("modification_time"))
+        .where(F.col("entry_name") != "")
+        .groupBy("entry_name")
+        .agg(F.sum("length").alias("length"), F.max("modification_time").alias("modification_time"), F.count(F.lit(1)).alias("files"))
     )
 
 
+def _escape(text: str) -> str:
+    import re
+
+    return re.escape(text)
+
+
 def source_inventory(spark: SparkSession, in_dir: str, force: bool = False, base_url: str = DEFAULT_BASE_URL) -> DataFrame:
     """Manifest left-joined with the listing: ``action`` is ``skip`` for a
-    present file, ``download`` for a missing one, ``refresh`` when forced."""
+    present file (``name.tsv.gz`` or ``name.tsv``, file or folder),
+    ``download`` for a missing one, ``refresh`` when forced."""
     m = manifest(spark, base_url, in_dir)
-    present = listing(spark, in_dir).select("file_name", "length", "modification_time")
-    j = m.join(present, "file_name", "left")
+    present = listing(spark, in_dir).select(
+        F.regexp_replace("entry_name", r"\.gz$", "").alias("base_name"), "length", "modification_time"
+    )
+    present = present.groupBy("base_name").agg(F.sum("length").alias("length"), F.max("modification_time").alias("modification_time"))
+    j = m.withColumn("base_name", F.regexp_replace("file_name", r"\.gz$", "")).join(present, "base_name", "left")
     action = (
         F.when(F.lit(force), F.lit("refresh"))
         .when(F.col("length").isNotNull(), F.lit("skip"))
@@ -55,6 +70,15 @@ def source_inventory(spark: SparkSession, in_dir: str, force: bool = False, base
     return j.select("kind", "file_name", "url", "destination", "length", "modification_time", action.alias("action"))
 
 
+def inventory_totals(inventory: DataFrame) -> DataFrame:
+    """One row: files present, files missing and total bytes present."""
+    return inventory.agg(
+        F.count_if(F.col("length").isNotNull()).alias("files_present"),
+        F.count_if(F.col("length").isNull()).alias("files_missing"),
+        F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"),
+    )
+
+
 def size_violations(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES) -> DataFrame:
     """Files above the cap (the job fails closed on any row here)."""
     return inventory.where(F.col("length") > F.lit(int(max_file_bytes))).select(
