@@ -216,3 +216,18 @@ def candidates(
     return st.select(
         F.col("q").alias("query_tconst"), F.col("rank").cast("int").alias("rank"), F.col("c").alias("tconst"), F.col("dot").alias("overlap")
     )
+
+
+def recommend_titles(
+    titles: DataFrame,
+    terms: DataFrame,
+    queries: list[str],
+    top_n: int = DEFAULT_TOP_N,
+    candidate_limit: int = DEFAULT_CANDIDATE_LIMIT,
+    **kwargs,
+) -> DataFrame:
+    """Convenience for a handful of titles typed by a user: builds the
+    request frame and runs the batch :func:`recommend`."""
+    spark = titles.sparkSession
+    req = spark.createDataFrame([(str(i), q) for i, q in enumerate(queries)], "request_id string, title string")
+    return recommend(titles, terms, req, top_n=top_n, candidate_limit=candidate_limit, **kwargs)

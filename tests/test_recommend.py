@@ -204,3 +204,11 @@ def test_evaluation_fixture_report(spark, eval_catalog, tmp_path):
     r = res.first()
     assert r["passed"] is False and r["present_bad"] == ["Midnight Crew"]
     assert report(res).first()["cases_passed"] == 0
+
+
+def test_recommend_titles_convenience(spark, eval_catalog):
+    from marquee.operators.recommend import recommend_titles
+
+    titles, terms = build_index(eval_catalog)
+    got = recs_by_query(recommend_titles(titles, terms, ["Neon Heist", "Not In Fixture"], top_n=3))
+    assert got["Neon Heist"] == ["Midnight Crew", "Crime Alley", "Silent Orchard"] and got["Not In Fixture"] == []
