@@ -1067,3 +1067,43 @@ def text_feature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_active_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows only (expected empty): contracts with more than one active row."""
     return fe.one_active_violations(text_feature_versions(spark, sf_dir))
+
+
+def _suffix_ctes(sql: str, names: list[str], suffix: str) -> str:
+    import re
+
+    for n in sorted(names, key=len, reverse=True):
+        sql = re.sub(rf"\b{n}\b", n + suffix, sql)
+    return sql
+
+
+_RUN_CTES = ["base", "stats", "scored", "d_ids", "d_pos", "d_lists", "c_top", "c_lists", "dup", "curated", "curated2", "soup"]
+_SOUP_RUN1 = _CURATED2_SQL + "," + _SOUP_SQL
+_SOUP_RUN2 = _suffix_ctes(_SOUP_RUN1, _RUN_CTES + ["b_names"], "_2")
+
+_FEATURE_VERSIONS_SQL = _with(
+    """
+b_names_2 AS (SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, s_name AS primaryName FROM supplier),"""
+    + _SOUP_RUN1
+    + ","
+    + _SOUP_RUN2
+    + """,
+s1 AS (SELECT tconst, sha256(source_text) AS h FROM soup),
+s2 AS (SELECT tconst, sha256(source_text) AS h FROM soup_2),
+fv AS (
+  SELECT tconst, h, 1 AS run FROM s1
+  UNION ALL
+  SELECT s2.tconst, s2.h, 2 FROM s2 WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.tconst = s2.tconst AND s1.h = s2.h)),
+fva AS (
+  SELECT tconst, 'recommendation_soup' AS feature_name, 'v1' AS feature_version, h AS source_text_sha256,
+         CAST(run AS BIGINT) AS source_etl_run_id,
+         row_number() OVER (PARTITION BY tconst ORDER BY run DESC, h) = 1 AS active
+  FROM fv)
+"""
+)
+_ORACLES["text_feature_versions"] = _FEATURE_VERSIONS_SQL + "SELECT * FROM fva"
+_ORACLES["one_active_check"] = (
+    _FEATURE_VERSIONS_SQL
+    + """SELECT tconst, feature_name, feature_version, CAST(count(*) FILTER (WHERE active) AS BIGINT) AS active_rows
+FROM fva GROUP BY ALL HAVING count(*) FILTER (WHERE active) > 1"""
+)
