@@ -60,7 +60,7 @@ def cosine_recommend(
     requests: DataFrame | None = None,
     top_n: int = DEFAULT_TOP_N,
     stop_words: tuple[str, ...] | None = None,
-    hot_min_df: int = DEFAULT_HOT_MIN_DF,
+    hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
     prepared: DataFrame | None = None,
 ) -> DataFrame:

@@ -79,7 +79,7 @@ def case_results(
     top_n: int | None = None,
     candidate_limit: int = DEFAULT_CANDIDATE_LIMIT,
     max_top_n: int | None = None,
-    hot_min_df: int = DEFAULT_HOT_MIN_DF,
+    hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
 ) -> DataFrame:
     """One row per case with its recommendations, misses and verdict.
 

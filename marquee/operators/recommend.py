@@ -81,7 +81,7 @@ def recommend(
     requests: DataFrame | None = None,
     top_n: int = DEFAULT_TOP_N,
     candidate_limit: int = DEFAULT_CANDIDATE_LIMIT,
-    hot_min_df: int = DEFAULT_HOT_MIN_DF,
+    hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
 ) -> DataFrame:
     """Recommendations for ``requests`` (column ``title``; optional
@@ -196,7 +196,7 @@ def candidates(
     titles: DataFrame,
     terms: DataFrame,
     candidate_limit: int = DEFAULT_CANDIDATE_LIMIT,
-    hot_min_df: int = DEFAULT_HOT_MIN_DF,
+    hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
     queries: DataFrame | None = None,
 ) -> DataFrame:

@@ -13,8 +13,10 @@ feature held by a third of all items makes that quadratic. The plan splits
 features by document frequency ``df``:
 
 1. **rare** features (``df <= hot_min_df``) are self-joined on the feature.
-   Each group yields at most ``hot_min_df^2`` pairs, so the cost is linear
-   in the number of feature rows.
+   Each group yields at most ``hot_min_df^2`` pairs. The default
+   ``hot_min_df="auto"`` picks the largest cut whose rare pairs stay within
+   ``DEFAULT_PAIR_BUDGET`` pairs per feature row, so the cost is linear in
+   the number of feature rows whatever the df distribution.
 2. **hot** features are never expanded into pairs. Every item's hot vector
    ``H(c)`` is enumerated into its non-empty sub-vectors ``A`` (2^|H|-1 of
    them; |H| is small: a handful of genres) and each sub-vector keeps only
@@ -43,7 +45,8 @@ from pyspark.sql import functions as F
 
 from marquee.session import materialize
 
-DEFAULT_HOT_MIN_DF = 256
+DEFAULT_HOT_MIN_DF = "auto"
+DEFAULT_PAIR_BUDGET = 64  # rare-feature pairs allowed per feature row ("auto")
 DEFAULT_MAX_HOT = 10
 
 _HV_TYPE = "array<struct<feat:string,w:bigint>>"
@@ -72,10 +75,32 @@ def _hot_dot(hq: Column, hc: Column) -> Column:
     )
 
 
-def feature_table(feats: DataFrame, hot_min_df: int) -> DataFrame:
-    """``(id, feat, w, hot)`` with ``hot = df(feat) > hot_min_df``."""
+def auto_threshold(df: DataFrame, pair_budget: float = DEFAULT_PAIR_BUDGET) -> Column:
+    """Scalar-subquery column: the largest document frequency ``T`` such that
+    self-joining every feature with ``df <= T`` yields at most
+    ``pair_budget`` pairs per feature row (``sum df^2 <= budget * sum df``).
+
+    Computed from the df histogram (one row per distinct df value, at most
+    ``sqrt(2 * rows)`` rows), so the window over it is tiny.
+    """
+    hist = df.groupBy("df").agg(F.count(F.lit(1)).alias("n_feats"))
+    running = Window.orderBy("df").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("df").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cum = hist.select(
+        "df",
+        F.sum(F.col("n_feats") * F.col("df") * F.col("df")).over(running).alias("pairs"),
+        F.sum(F.col("n_feats") * F.col("df")).over(whole).alias("rows"),
+    )
+    fits = cum.where(F.col("pairs") <= F.col("rows") * F.lit(float(pair_budget)))
+    return fits.agg(F.coalesce(F.max("df"), F.lit(1)).cast("bigint").alias("t")).scalar()
+
+
+def feature_table(feats: DataFrame, hot_min_df: int | str, pair_budget: float = DEFAULT_PAIR_BUDGET) -> DataFrame:
+    """``(id, feat, w, hot)`` with ``hot = df(feat) > hot_min_df``; with
+    ``hot_min_df="auto"`` the cut comes from :func:`auto_threshold`."""
     df = feats.groupBy("feat").agg(F.count(F.lit(1)).alias("df"))
-    hot = df.where(F.col("df") > hot_min_df).select("feat", F.lit(True).alias("hot"))
+    cut = auto_threshold(df, pair_budget) if hot_min_df == "auto" else F.lit(int(hot_min_df))
+    hot = df.where(F.col("df") > cut).select("feat", F.lit(True).alias("hot"))
     return feats.join(hot, "feat", "left").withColumn("hot", F.coalesce(F.col("hot"), F.lit(False)))
 
 
@@ -85,7 +110,7 @@ def topk_shared(
     k: int,
     mode: str = "overlap",
     queries: DataFrame | None = None,
-    hot_min_df: int = DEFAULT_HOT_MIN_DF,
+    hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
     carry: tuple[str, ...] = (),
     materialize_inputs: bool = False,

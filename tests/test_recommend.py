@@ -33,7 +33,8 @@ def test_fixture_goldens_limit_500_and_1(spark, eval_catalog):
     assert got500["Romantic Kitchen"] == ["Deep Space Laughs", "Silent Orchard", "Neon Heist"]
     assert got1["Neon Heist"] == ["Midnight Crew", "Silent Orchard", "Space Garden"]
     assert got1["Space Garden"] == ["Galaxy Chase", "Silent Orchard", "Neon Heist"]
-    # the hot-feature path gives the same lists
+    # the hot-feature path gives the same lists (fixed and automatic cuts)
+    assert recs_by_query(recommend(titles, terms, None, top_n=3, candidate_limit=500, hot_min_df=256)) == got500
     assert recs_by_query(recommend(titles, terms, None, top_n=3, candidate_limit=500, hot_min_df=1)) == got500
     assert recs_by_query(recommend(titles, terms, None, top_n=3, candidate_limit=1, hot_min_df=1)) == got1
 
@@ -165,7 +166,7 @@ def test_engine_matches_brute_force(spark, seed):
         k = 3
         want = sorted(tuple(r) for r in brute_force_topk(f, it, k, mode).select("q", "c", "rank").collect())
         # all rare / hot sub-vector lists / heavy items paired directly
-        for hot, max_hot in ((1000, 10), (5, 10), (1, 1)):
+        for hot, max_hot in ((1000, 10), (5, 10), (1, 1), ("auto", 10)):
             got = sorted(
                 tuple(r) for r in topk_shared(f, it, k, mode, hot_min_df=hot, max_hot=max_hot).select("q", "c", "rank").collect()
             )
