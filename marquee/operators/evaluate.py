@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.functions.scalars import join_or_none
-from marquee.operators.recommend import DEFAULT_CANDIDATE_LIMIT, DEFAULT_TOP_N, recommend
+from marquee.operators.recommend import DEFAULT_CANDIDATE_LIMIT, recommend
 from marquee.operators.similarity import DEFAULT_HOT_MIN_DF
 
 # Fixed values of the case format.

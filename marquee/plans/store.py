@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from marquee.operators.index import accepted_rows, index_tables
-from marquee.session import materialize, scratch_path, write_table  # noqa: F401
+from marquee.session import scratch_path, write_table
 
 
 def build_store(catalog: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
