@@ -7,11 +7,12 @@ Plan shape (one lazy plan, nothing collected):
 * the mean rating ``C`` and the vote quantile are one aggregate evaluated as
   a scalar subquery (exact ``percentile``, linear interpolation), used both as
   the threshold and inside the score - no cross join, no driver round trip;
-* director and cast lists are built only for surviving titles. The cast
-  top-k uses ``row_number() <= k`` which Spark plans as a *partial*
-  WindowGroupLimit before the shuffle, so a title with a huge credit list is
-  cut map-side. List aggregation collects at most ``k`` structs per title and
-  keeps null names (``collect_list`` of a struct never drops the element);
+* director and cast lists are built only for surviving titles, in one
+  pass (one union, one join with names, one grouping). The cast top-k uses
+  ``row_number() <= k`` which Spark plans as a *partial* WindowGroupLimit
+  before the shuffle, so a title with a huge credit list is cut map-side.
+  List aggregation collects at most 3 + 5 structs per title and keeps null
+  names (``collect_list`` of a struct never drops the element);
 * duplicate titles are found with an aggregate + join (partial aggregation
   and AQE skew-join split absorb a hot title string) instead of a window that
   would put a hot title in a single task.
@@ -136,6 +137,49 @@ def cast_lists(principals: DataFrame, names: DataFrame, limit: int = CAST_LIMIT,
     return _ordered_lists(named, "pos", "cast_ids", "actors")
 
 
+def people_lists(
+    crew: DataFrame,
+    principals: DataFrame,
+    names: DataFrame,
+    keep: DataFrame,
+    director_limit: int = DIRECTOR_LIMIT,
+    cast_limit: int = CAST_LIMIT,
+) -> DataFrame:
+    """Director and cast lists of the ``keep`` titles in one pass:
+    ``(tconst, director_ids, director_names, cast_ids, actors)``.
+
+    Both credit kinds are unioned, joined with ``names`` once and grouped
+    once (at most ``director_limit + cast_limit`` structs per title), which
+    saves a join and a shuffle against building the two lists separately.
+    """
+    d = crew.join(keep.select("tconst"), "tconst", "left_semi").select(
+        "tconst", F.posexplode(split_ids("directors", director_limit)).alias("pos", "nconst")
+    ).withColumn("role", F.lit(0))
+    cast = principals.where(F.col("category").isin(*CAST_CATEGORIES)).select("tconst", "ordering", "nconst")
+    w = Window.partitionBy("tconst").orderBy(F.col("ordering").asc_nulls_last(), F.col("nconst"))
+    c = (
+        cast.withColumn("pos", F.row_number().over(w))
+        .where(F.col("pos") <= cast_limit)
+        .join(keep.select("tconst"), "tconst", "left_semi")
+        .select("tconst", "pos", "nconst", F.lit(1).alias("role"))
+    )
+    named = d.unionByName(c).join(names.select("nconst", "primaryName"), "nconst", "left")
+    packed = named.groupBy("tconst").agg(
+        F.array_sort(
+            F.collect_list(F.struct("role", F.col("pos").alias("p"), F.col("nconst").alias("i"), F.col("primaryName").alias("n")))
+        ).alias("xs")
+    )
+    dirs = F.filter("xs", lambda x: x["role"] == 0)
+    cst = F.filter("xs", lambda x: x["role"] == 1)
+    return packed.select(
+        "tconst",
+        F.transform(dirs, lambda x: x["i"]).alias("director_ids"),
+        F.transform(dirs, lambda x: x["n"]).alias("director_names"),
+        F.transform(cst, lambda x: x["i"]).alias("cast_ids"),
+        F.transform(cst, lambda x: x["n"]).alias("actors"),
+    )
+
+
 def _ordered_lists(named: DataFrame, pos: str, ids_name: str, names_name: str) -> DataFrame:
     packed = named.groupBy("tconst").agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("nconst").alias("i"), F.col("primaryName").alias("n")))).alias("xs")
@@ -186,9 +230,7 @@ def curate(
     if materialize_survivors:
         scored = materialize(scored, "curate-survivors")
     keep = scored.select("tconst")
-    directors = director_lists(crew.join(keep, "tconst", "left_semi"), names)
-    cast = cast_lists(principals, names, keep=keep)
-    out = scored.join(directors, "tconst", "left").join(cast, "tconst", "left")
+    out = scored.join(people_lists(crew, principals, names, keep), "tconst", "left")
     out = out.select(
         "tconst",
         "primaryTitle",
