@@ -262,3 +262,32 @@ __all__ = [
     "curate_sources",
     "EMPTY_STRING_ARRAY",
 ]
+
+
+# Natural keys of the raw sources (duplicates fan out the curation joins).
+SOURCE_KEYS = {
+    "titles": ["tconst"],
+    "crew": ["tconst"],
+    "ratings": ["tconst"],
+    "names": ["nconst"],
+    "principals": ["tconst", "ordering", "nconst"],
+}
+
+
+def source_key_violations(src: dict[str, DataFrame]) -> DataFrame:
+    """``(source, key, rows)`` for every key value held by more than one row
+    (partial aggregation per source; nothing reaches the driver)."""
+    out = None
+    for kind, key in SOURCE_KEYS.items():
+        if kind not in src:
+            continue
+        keytext = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in key])
+        v = (
+            src[kind]
+            .groupBy(*key)
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .where(F.col("rows") > 1)
+            .select(F.lit(kind).alias("source"), keytext.alias("key"), "rows")
+        )
+        out = v if out is None else out.unionByName(v)
+    return out

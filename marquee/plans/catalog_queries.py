@@ -1107,3 +1107,22 @@ _ORACLES["one_active_check"] = (
     + """SELECT tconst, feature_name, feature_version, CAST(count(*) FILTER (WHERE active) AS BIGINT) AS active_rows
 FROM fva GROUP BY ALL HAVING count(*) FILTER (WHERE active) > 1"""
 )
+
+
+@register(
+    "source_key_check",
+    _with(
+        """
+v AS (
+  SELECT 'titles' AS source, tconst AS key, count(*) AS n FROM b_titles GROUP BY tconst HAVING count(*) > 1
+  UNION ALL SELECT 'crew', tconst, count(*) FROM b_crew GROUP BY tconst HAVING count(*) > 1
+  UNION ALL SELECT 'ratings', tconst, count(*) FROM b_ratings GROUP BY tconst HAVING count(*) > 1
+  UNION ALL SELECT 'names', nconst, count(*) FROM b_names GROUP BY nconst HAVING count(*) > 1
+  UNION ALL SELECT 'principals', tconst || '|' || CAST(ordering AS VARCHAR) || '|' || nconst, count(*)
+            FROM b_principals GROUP BY tconst, ordering, nconst HAVING count(*) > 1)
+SELECT source, key, CAST(n AS BIGINT) AS rows FROM v"""
+    ),
+)
+def source_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-uniqueness report over the five bound sources (fan-out guard)."""
+    return cu.source_key_violations(_sources(spark, sf_dir))

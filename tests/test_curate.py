@@ -190,3 +190,17 @@ def test_cast_ties_broken_by_id_and_limit(spark):
     f = frames(spark, [("t1", "movie", "M", "D")], [("t1", "n1")], [("t1", 8.0, 10)], [], principals)
     (r,) = rows(cu.curate(*f, vote_quantile=None, min_votes=0))
     assert r["cast_ids"] == ["nm1", "nm2", "nm3", "nm5", "nm7"]
+
+
+def test_source_key_violations(spark):
+    f = frames(
+        spark,
+        [("t1", "movie", "A", "D")],
+        [("t1", "n1"), ("t1", "n2")],
+        [("t1", 8.0, 10)],
+        [("n1", "X"), ("n1", "Y")],
+        [("t1", 1, "n9", "actor"), ("t1", 1, "n9", "actor")],
+    )
+    src = dict(zip(["titles", "crew", "ratings", "names", "principals"], f))
+    got = sorted((r["source"], r["key"], r["rows"]) for r in cu.source_key_violations(src).collect())
+    assert got == [("crew", "t1", 2), ("names", "n1", 2), ("principals", "t1|1|n9", 2)]
