@@ -1126,3 +1126,13 @@ SELECT source, key, CAST(n AS BIGINT) AS rows FROM v"""
 def source_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-uniqueness report over the five bound sources (fan-out guard)."""
     return cu.source_key_violations(_sources(spark, sf_dir))
+
+
+@register("recommend_all_heavy_path", _with(_CAT_SQL + "," + _rec_sql(TOP_N, CANDIDATE_LIMIT) + _REC_SELECT))
+def recommend_all_heavy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same result as ``recommend_all`` with every title holding more than
+    one hot term paired directly (exercises the engine's third branch)."""
+    titles, terms = catalog_index(spark, sf_dir)
+    return _rec_columns(
+        rc.recommend_all(titles, terms, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT, hot_min_df=SPLIT_HOT_MIN_DF, max_hot=1)
+    )
