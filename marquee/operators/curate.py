@@ -121,6 +121,14 @@ def director_lists(crew: DataFrame, names: DataFrame, limit: int = DIRECTOR_LIMI
     return _ordered_lists(named, "pos", "director_ids", "director_names")
 
 
+def _cast_credits(principals: DataFrame) -> DataFrame:
+    """Actor/actress credits ``(tconst, ordering, nconst)``; without an
+    ``ordering`` column the order falls back to the person id (Spark rows
+    have no input order to preserve)."""
+    order = F.col("ordering").cast("bigint") if "ordering" in principals.columns else F.lit(None).cast("bigint")
+    return principals.where(F.col("category").isin(*CAST_CATEGORIES)).select("tconst", order.alias("ordering"), "nconst")
+
+
 def cast_lists(principals: DataFrame, names: DataFrame, limit: int = CAST_LIMIT, keep: DataFrame | None = None) -> DataFrame:
     """``(tconst, cast_ids, actors)``: first ``limit`` actor/actress credits.
 
@@ -128,7 +136,7 @@ def cast_lists(principals: DataFrame, names: DataFrame, limit: int = CAST_LIMIT,
     limit is applied before the name lookup. ``keep`` (optional ``tconst``
     frame) restricts the output after the per-title limit.
     """
-    cast = principals.where(F.col("category").isin(*CAST_CATEGORIES)).select("tconst", "ordering", "nconst")
+    cast = _cast_credits(principals)
     w = Window.partitionBy("tconst").orderBy(F.col("ordering").asc_nulls_last(), F.col("nconst"))
     top = cast.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
     if keep is not None:
@@ -155,7 +163,7 @@ def people_lists(
     d = crew.join(keep.select("tconst"), "tconst", "left_semi").select(
         "tconst", F.posexplode(split_ids("directors", director_limit)).alias("pos", "nconst")
     ).withColumn("role", F.lit(0))
-    cast = principals.where(F.col("category").isin(*CAST_CATEGORIES)).select("tconst", "ordering", "nconst")
+    cast = _cast_credits(principals)
     w = Window.partitionBy("tconst").orderBy(F.col("ordering").asc_nulls_last(), F.col("nconst"))
     c = (
         cast.withColumn("pos", F.row_number().over(w))

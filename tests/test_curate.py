@@ -204,3 +204,11 @@ def test_source_key_violations(spark):
     src = dict(zip(["titles", "crew", "ratings", "names", "principals"], f))
     got = sorted((r["source"], r["key"], r["rows"]) for r in cu.source_key_violations(src).collect())
     assert got == [("crew", "t1", 2), ("names", "n1", 2), ("principals", "t1|1|n9", 2)]
+
+
+def test_cast_without_ordering_column_uses_person_id(spark):
+    f = frames(spark, [("t1", "movie", "M", "D")], [("t1", "n1")], [("t1", 8.0, 10)], [], [])
+    pr = spark.createDataFrame([("t1", "nm7", "actor"), ("t1", "nm2", "actress"), ("t1", "nm5", "writer")],
+                               "tconst string, nconst string, category string")
+    (r,) = rows(cu.curate(f[0], f[1], f[2], f[3], pr, vote_quantile=None, min_votes=0))
+    assert r["cast_ids"] == ["nm2", "nm7"]
