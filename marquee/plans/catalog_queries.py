@@ -1136,3 +1136,23 @@ def recommend_all_heavy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rec_columns(
         rc.recommend_all(titles, terms, top_n=TOP_N, candidate_limit=CANDIDATE_LIMIT, hot_min_df=SPLIT_HOT_MIN_DF, max_hot=1)
     )
+
+
+@register(
+    "evaluate_report_lines",
+    _with(
+        _EVAL_SQL
+        + """
+SELECT id, concat_ws(chr(10),
+         printf('[%s] %s: %s', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END, id, query),
+         CASE WHEN error IS NOT NULL THEN '  error: ' || error
+              ELSE printf('  top %d: %s', top_n, coalesce(nullif(array_to_string(recs, ', '), ''), '(none)')) END,
+         CASE WHEN len(expected_good) > 0 THEN '  missing expected good: ' || coalesce(nullif(array_to_string(missing_good, ', '), ''), '(none)') END,
+         CASE WHEN len(expected_bad) > 0 THEN '  present expected bad: ' || coalesce(nullif(array_to_string(present_bad, ', '), ''), '(none)') END,
+         CASE WHEN coalesce(expected_error, '') <> '' THEN '  expected error: ' || expected_error END) AS text
+FROM fin2"""
+    ),
+)
+def evaluate_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-case report text of the seed-case evaluation."""
+    return ev.report_lines(_eval_results(spark, sf_dir))
