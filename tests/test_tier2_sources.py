@@ -122,3 +122,27 @@ def test_vector_topk_matches_numpy(spark):
     for i in range(40):
         order = sorted(range(40), key=lambda j: (d[i, j], str(j)))[:3]
         assert [got[(str(i), r)] for r in (1, 2, 3)] == [str(j) for j in order]
+
+
+def test_fuzzy_search_many_duplicates_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    names = ["red widget", "red wodget", "blue bolt", "small ring", "small rings"]
+    rows = [(f"t{i:03d}", n, n, float(rnd.randint(0, 3))) for i, n in enumerate(rnd.choice(names) for _ in range(120))]
+    movies = spark.createDataFrame(rows, "tconst string, display_title string, primary_title string, weighted_score double")
+    req = spark.createDataFrame([("a", "red widge"), ("b", "small rin"), ("c", "blu bolt")], "request_id string, query string")
+    got = [(r["request_id"], r["tconst"]) for r in fuzzy_title_search(movies, req, 0.3, 4).orderBy("request_id", "rank").collect()]
+    from pyspark.sql import Window
+
+    from marquee.functions.text import trigrams
+
+    m = movies.withColumn("g", trigrams(F.col("display_title")))
+    q = req.withColumn("rg", trigrams(F.col("query")))
+    w = Window.partitionBy("request_id").orderBy(F.col("s").desc(), F.col("weighted_score").desc(), "display_title", "tconst")
+    brute = (
+        q.crossJoin(m).withColumn("s", jaccard(F.col("g"), F.col("rg"))).where("s >= 0.3")
+        .withColumn("rank", F.row_number().over(w)).where("rank <= 4").orderBy("request_id", "rank")
+    )
+    assert got == [(r["request_id"], r["tconst"]) for r in brute.collect()]
+    assert len(got) == 12
