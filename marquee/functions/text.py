@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,22 +14,13 @@ _NON_WORD = r"(?U)\W+"
 
 @functools.lru_cache(maxsize=None)
 def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark's own stop-word list (the one ``StopWordsRemover`` loads).
+    """The stop-word list shipped as ``data/stop_words_<language>.txt``.
 
-    Read from the mllib jar that ships with PySpark, so no JVM is needed
-    (the oracle SQL is built without a session).
+    A text file of the package (Spark's public English list, one word per
+    line), so neither a JVM nor a particular PySpark installation is needed.
     """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split() if w)
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+    listed = resources.files("marquee.functions").joinpath(f"data/stop_words_{language}.txt")
+    return tuple(listed.read_text(encoding="utf-8").split())
 
 
 def word_tokens(text: Column) -> Column:

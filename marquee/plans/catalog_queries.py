@@ -8,6 +8,8 @@ brute-force statement of the same result in DuckDB SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ VOTE_QUANTILE = 0.9
 MIN_VOTES = 10
 
 QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def register(name: str, oracle: str | None = None):
+def register(name: str, oracle: str | Callable[[], str] | None = None):
+    """Register a query; an oracle given as a function is built on request."""
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
@@ -36,7 +39,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {name: sql() if callable(sql) else sql for name, sql in _ORACLES.items()}
 
 
 def _with(sql: str) -> str:
@@ -539,12 +542,12 @@ def _cosine(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return r.select("query_tconst", "rank", "tconst", "title", F.round("similarity", 9).alias("similarity"), "source")
 
 
-@register("cosine_recommend", _with(_cosine_sql(TOP_N)))
+@register("cosine_recommend", lambda: _with(_cosine_sql(TOP_N)))
 def cosine_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosine(spark, sf_dir)
 
 
-@register("cosine_recommend_hot_split", _with(_cosine_sql(TOP_N)))
+@register("cosine_recommend_hot_split", lambda: _with(_cosine_sql(TOP_N)))
 def cosine_recommend_hot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosine(spark, sf_dir, hot_min_df=SPLIT_HOT_MIN_DF)
 
