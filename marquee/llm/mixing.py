@@ -79,7 +79,9 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     level = F.try_divide(F.col("wanted") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("weight").over(onward))
     # the first source that the level leaves below its cap fixes it for the rest
     leveled = capped.withColumn("level", level)
-    below = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.try_divide("cap", "weight").alias("r"), "level"))).over(Window.partitionBy())
+    stays_below = (F.col("weight") > 0) & (F.col("level") * F.col("weight") <= F.col("cap"))
+    placed = F.struct(F.try_divide("cap", "weight").alias("r"), F.col("source").isNull().alias("n"), "source", "level")
+    below = F.min(F.when(stays_below, placed)).over(Window.partitionBy())
     final = leveled.withColumn("fill", below["level"])
     return final.select(
         "source", "source_size", "weight",

@@ -186,8 +186,8 @@ forms AS (
 classes(pattern, bin) AS (VALUES {classes}),
 docs AS (
   SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_words, length(coalesce(text, '')) AS n_chars
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_words, length(coalesce(text, '')) AS n_chars
   FROM documents),
 tokens AS (SELECT k, unnest(w) AS word, unnest(range(n_words)) AS pos FROM docs),
 class_doc AS (SELECT k, bin, length(t) - length(regexp_replace(t, pattern, '', 'g')) AS n FROM docs, classes),
@@ -217,7 +217,7 @@ twice AS (SELECT k, pos FROM (SELECT k, pos, count(*) OVER (PARTITION BY k, win)
 covered AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, pos + o AS p FROM twice, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY k),
 lines AS (
   SELECT k, count(*) - count(DISTINCT line) AS n
-  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^ 	-]') GROUP BY k),
+  FROM (SELECT k, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
 base AS (
   SELECT d.k, d.doc_id, d.n_words, length(array_to_string(d.w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words

@@ -85,7 +85,8 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.nd
     depth, width = 0, FIRST_DEPTH
     while not seen.all():
         upto = min(n, depth + width)
-        if (upto - depth) * (len(up) + len(down)) >= n - np.count_nonzero(seen):
+        reads = (upto - depth) * (len(up) + len(down))  # none for a query of zeros
+        if reads == 0 or reads >= n - np.count_nonzero(seen):
             new, upto = np.flatnonzero(~seen), n
         else:
             met = np.concatenate([lists[up, n - upto : n - depth].reshape(-1), lists[down, depth:upto].reshape(-1)])
