@@ -16,7 +16,6 @@ operators   The jobs: curation, term index, overlap and cosine recommenders,
             upserts, credits and provenance.
 plans       File-to-file jobs that chain operators (curate files, build the
             index when the source changed, run an evaluation).
-streaming   Intentionally empty: the catalogue workload is batch only.
 """
 
 from marquee.session import get_session, checkpoint_dir  # noqa: F401

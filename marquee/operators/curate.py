@@ -55,18 +55,37 @@ CURATED_COLUMNS = [
 ]
 
 
+def _mean_and_quantile(base: DataFrame, vote_quantile: float | None) -> DataFrame:
+    """One-row frame ``(mean_rating, vote_quantile_value)``, exact.
+
+    The rows are first counted per distinct vote number (partial sums before
+    the shuffle); the interpolated quantile then comes from running counts
+    over these distinct numbers only.
+    """
+    counts = base.groupBy("numVotes").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("averageRating").alias("ratings"), F.count("averageRating").alias("rated")
+    )
+    known = F.when(F.col("numVotes").isNotNull(), F.col("n")).otherwise(0)
+    upto = Window.orderBy(F.col("numVotes").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum(known).over(upto)).withColumn("total", F.sum(known).over(Window.partitionBy()))
+    place = F.lit(float(vote_quantile if vote_quantile is not None else 0.0)) * (F.col("total") - 1)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("numVotes")))
+    found = ranked.agg(
+        F.try_divide(F.sum("ratings"), F.sum("rated")).alias("mean_rating"),
+        F.max(place).alias("place"), at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"),
+    )
+    part = F.col("place") - F.floor("place")
+    value = F.when(F.col("low") == F.col("high"), F.col("low").cast("double")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    return found.select("mean_rating", (value if vote_quantile is not None else F.lit(None)).cast("double").alias("vote_quantile_value"))
+
+
 def vote_stats(base: DataFrame, vote_quantile: float | None, min_votes: int | None) -> DataFrame:
     """One-row frame ``(mean_rating, vote_quantile_value, threshold)``.
 
     ``threshold`` is the stricter of the active thresholds, 0 when none is
     active; it is also the ``m`` of the weighted score.
     """
-    q = (
-        F.percentile(F.col("numVotes"), F.lit(float(vote_quantile)))
-        if vote_quantile is not None
-        else F.lit(None).cast("double")
-    )
-    stats = base.agg(F.avg("averageRating").alias("mean_rating"), q.alias("vote_quantile_value"))
+    stats = _mean_and_quantile(base, vote_quantile)
     parts: list[Column] = []
     if vote_quantile is not None:
         parts.append(F.col("vote_quantile_value"))
@@ -137,10 +156,10 @@ def cast_lists(principals: DataFrame, names: DataFrame, limit: int = CAST_LIMIT,
     frame) restricts the output after the per-title limit.
     """
     cast = _cast_credits(principals)
+    if keep is not None:  # before ranking, which needs the same partitioning
+        cast = cast.join(keep.select("tconst"), "tconst", "left_semi")
     w = Window.partitionBy("tconst").orderBy(F.col("ordering").asc_nulls_last(), F.col("nconst"))
     top = cast.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
-    if keep is not None:
-        top = top.join(keep.select("tconst"), "tconst", "left_semi")
     named = top.join(names.select("nconst", "primaryName"), "nconst", "left")
     return _ordered_lists(named, "pos", "cast_ids", "actors")
 
@@ -163,12 +182,12 @@ def people_lists(
     d = crew.join(keep.select("tconst"), "tconst", "left_semi").select(
         "tconst", F.posexplode(split_ids("directors", director_limit)).alias("pos", "nconst")
     ).withColumn("role", F.lit(0))
-    cast = _cast_credits(principals)
+    # only the kept titles' credits are ranked; both steps need one partitioning
+    cast = _cast_credits(principals).join(keep.select("tconst"), "tconst", "left_semi")
     w = Window.partitionBy("tconst").orderBy(F.col("ordering").asc_nulls_last(), F.col("nconst"))
     c = (
         cast.withColumn("pos", F.row_number().over(w))
         .where(F.col("pos") <= cast_limit)
-        .join(keep.select("tconst"), "tconst", "left_semi")
         .select("tconst", "pos", "nconst", F.lit(1).alias("role"))
     )
     named = d.unionByName(c).join(names.select("nconst", "primaryName"), "nconst", "left")

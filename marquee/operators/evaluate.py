@@ -78,15 +78,13 @@ def case_results(
     terms: DataFrame,
     top_n: int | None = None,
     candidate_limit: int = DEFAULT_CANDIDATE_LIMIT,
-    max_top_n: int | None = None,
     hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
 ) -> DataFrame:
     """One row per case with its recommendations, misses and verdict.
 
     ``top_n`` overrides every case's own value. The recommender runs once
     with the largest effective ``top_n`` (lists are prefixes of longer
-    lists); ``max_top_n`` may pass that bound, otherwise a one-row aggregate
-    provides it.
+    lists), which a one-row aggregate over the cases provides.
     """
     # deterministic key (content hash): recomputed tasks give the same key;
     # identical cases share one request and both read its result
@@ -94,12 +92,11 @@ def case_results(
     cases = cases.withColumn("_key", F.sha2(F.to_json(F.struct(*[F.col(c) for c in case_cols])), 256))
     eff = F.lit(int(top_n)) if top_n is not None else F.col("top_n")
     cases = cases.withColumn("eff_top_n", F.greatest(F.lit(0), eff.cast("int")))
-    if max_top_n is None:
-        max_top_n = (top_n if top_n is not None else cases.agg(F.max("eff_top_n")).first()[0]) or 0
+    largest = (top_n if top_n is not None else cases.agg(F.max("eff_top_n")).first()[0]) or 0
     requests = cases.select(
         F.col("_key").alias("request_id"), F.col("query").alias("title"), F.col("eff_top_n").alias("top_n")
     ).dropDuplicates(["request_id"])
-    recs = recommend(titles, terms, requests, top_n=max(int(max_top_n), 0), candidate_limit=candidate_limit, hot_min_df=hot_min_df)
+    recs = recommend(titles, terms, requests, top_n=max(int(largest), 0), candidate_limit=candidate_limit, hot_min_df=hot_min_df)
     per_case = recs.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "title")))).alias("rs"),
         F.max("error").alias("error"),

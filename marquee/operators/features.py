@@ -9,6 +9,8 @@ from crew and principals with crew authoritative for directors/writers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +55,15 @@ def recommendation_soup(curated: DataFrame, version: str = SOUP_VERSION) -> Data
     (each part normalised, lists joined by ``, ``, null names skipped),
     at most 3 directors and 5 cast, plus the SHA-256 of the text."""
 
-    def joined(arr: str, n: int) -> F.Column:
-        kept = F.filter(F.slice(empty_if_null(arr), 1, n), lambda x: x.isNotNull())
+    def joined(arr: str, n: int | None = None) -> F.Column:
+        listed = empty_if_null(arr) if n is None else F.slice(empty_if_null(arr), 1, n)
+        kept = F.filter(listed, lambda x: x.isNotNull())
         return F.array_join(F.transform(kept, normalize_text), ", ")
 
     text = F.concat_ws(
         " | ",
         normalize_text(F.coalesce(F.col("primary_title"), strip_title_suffix("title"))),
-        joined("genres", 1000),
+        joined("genres"),
         joined("director_names", SOUP_DIRECTORS),
         joined("actors", SOUP_CAST),
     )
@@ -76,17 +79,21 @@ def recommendation_soup(curated: DataFrame, version: str = SOUP_VERSION) -> Data
 
 def add_feature_run(existing: DataFrame | None, new_rows: DataFrame, run_id: int) -> DataFrame:
     """Append a feature build: a text whose hash is already stored keeps its
-    row; a new hash adds a row. Afterwards exactly the newest row per
-    ``(tconst, feature_name, feature_version)`` is active."""
+    row (and notes the run that built it again); a new hash adds a row.
+    Afterwards exactly the row built last per ``(tconst, feature_name,
+    feature_version)`` is active, also when a text returns to an older one."""
     key = ["tconst", "feature_name", "feature_version"]
     ident = key + ["source_text_sha256"]
-    fresh = new_rows.withColumn("source_etl_run_id", F.lit(int(run_id)).cast("bigint"))
+    run = F.lit(int(run_id)).cast("bigint")
+    fresh = new_rows.withColumns({"source_etl_run_id": run, "last_built_run_id": run})
     if existing is None:
         allrows = fresh
     else:
-        old = existing.drop("active")
+        again = new_rows.select(*ident).distinct().withColumn("again", run)
+        old = existing.drop("active").join(again, ident, "left")
+        old = old.withColumn("last_built_run_id", F.coalesce("again", "last_built_run_id")).drop("again")
         allrows = old.unionByName(fresh.join(old.select(*ident), ident, "left_anti"))
-    w = Window.partitionBy(*key).orderBy(F.col("source_etl_run_id").desc(), F.col("source_text_sha256"))
+    w = Window.partitionBy(*key).orderBy(F.col("last_built_run_id").desc(), F.col("source_text_sha256"))
     return allrows.withColumn("active", F.row_number().over(w) == 1)
 
 
@@ -99,18 +106,27 @@ def one_active_violations(features: DataFrame) -> DataFrame:
 def credits(crew: DataFrame, principals: DataFrame) -> DataFrame:
     """``(tconst, nconst, role_type, credit_order, source)``.
 
-    Directors come from crew (list order, 1-based); principals give every
-    other credit by ``ordering``. A principal credit whose person already
+    Directors and, where the table has them, writers come from crew (list
+    order, 1-based); principals give every other credit by ``ordering``,
+    with their raw ``category`` and ``job`` where given. A principal credit whose person already
     has the same crew role on the title is dropped (crew is authoritative).
     Unique on ``(tconst, nconst, role_type, credit_order)``.
     """
-    d = crew.select("tconst", F.posexplode(split_ids("directors")).alias("pos", "nconst")).select(
-        "tconst", "nconst", F.lit("director").alias("role_type"), (F.col("pos") + 1).cast("bigint").alias("credit_order"), F.lit("crew").alias("source")
-    )
+    none = F.lit(None).cast("string")
+    of_role = [
+        crew.select("tconst", F.posexplode(split_ids(role + "s")).alias("pos", "nconst")).select(
+            "tconst", "nconst", F.lit(role).alias("role_type"), (F.col("pos") + 1).cast("bigint").alias("credit_order"),
+            F.lit("crew").alias("source"), none.alias("category"), none.alias("job"),
+        )
+        for role in CREW_ROLES
+        if role + "s" in crew.columns
+    ]
+    d = reduce(DataFrame.unionByName, of_role)
     cols = principals.columns
     role = F.col("category") if "category" in cols else F.lit("unknown")
     p = principals.select(
-        "tconst", "nconst", role.alias("role_type"), F.col("ordering").cast("bigint").alias("credit_order"), F.lit("principals").alias("source")
+        "tconst", "nconst", role.alias("role_type"), F.col("ordering").cast("bigint").alias("credit_order"), F.lit("principals").alias("source"),
+        (F.col("category") if "category" in cols else none).alias("category"), (F.col("job") if "job" in cols else none).alias("job"),
     ).where(F.col("nconst").isNotNull())
     crew_roles = d.select("tconst", "nconst", "role_type").distinct()
     p = p.join(crew_roles, ["tconst", "nconst", "role_type"], "left_anti")
@@ -124,7 +140,7 @@ def credits_from_lists(curated: DataFrame) -> DataFrame:
         "tconst", F.col("z.director_ids").alias("nconst"), F.col("z.director_names").alias("name"), F.lit("director").alias("role_type"), (F.col("pos") + 1).alias("credit_order")
     )
     cz = curated.select("tconst", F.posexplode(F.arrays_zip("cast_ids", "actors")).alias("pos", "z")).select(
-        "tconst", F.col("z.cast_ids").alias("nconst"), F.col("z.actors").alias("name"), F.lit("cast").alias("role_type"), (F.col("pos") + 1).alias("credit_order")
+        "tconst", F.col("z.cast_ids").alias("nconst"), F.col("z.actors").alias("name"), F.lit("actor").alias("role_type"), (F.col("pos") + 1).alias("credit_order")
     )
     return dz.unionByName(cz).where(F.col("nconst").isNotNull())
 

@@ -11,6 +11,7 @@ splitting), terms are ``explode(array_distinct(...))`` per row.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,33 +38,39 @@ def validate_columns(columns: list[str] | None) -> None:
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
-    """1-based position of each row in input (split) order.
+    """1-based position of each row: by file name and place in the file for a
+    scan of files (whose splits Spark orders by size), else in the order of
+    the partitions.
 
-    Per-partition counts (one row per partition) give the starting offset of
-    every partition; the offsets are joined back by partition id. No row is
-    moved between partitions and nothing is collected.
+    Row counts of the splits (one row per split) give the offset of each;
+    only those are summed in order, and are joined back by split.
     """
+    place = ["_file", "_block", "_pid"]
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    # partition ids are bounded by the partition count, so this side is tiny
-    out = tagged.join(F.broadcast(offsets), "_pid")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return out.withColumn(name, F.col("_off") + local + 1).drop("_pid", "_mid", "_off")
+    try:
+        tagged = tagged.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        tagged.schema  # noqa: B018 - resolves the columns
+    except AnalysisException:  # rows that come from no file
+        tagged = tagged.withColumns({"_file": F.lit(""), "_block": F.lit(0).cast("long")})
+    splits = tagged.groupBy(*place).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    w = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(*place, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    out = tagged.join(offsets, place)
+    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first") + 1).drop(*place, "_mid", "_first", "_off")
 
 
 def prepare_catalog(catalog: DataFrame, need_row_numbers: bool | None = None) -> DataFrame:
     """Typed rows: ``tconst`` (or ``row:N``), raw title, lists as arrays, score.
 
     ``score`` is ``try_cast`` to double; unparsable scores become null and
-    are reported by :func:`violations`.
+    are reported by :func:`violations`. Rows are numbered when any of them has
+    no id (one look at the id column decides, unless the caller does).
     """
     validate_columns(catalog.columns)
     types = {f.name: f.dataType for f in catalog.schema.fields}
     has_id = "tconst" in types
     if need_row_numbers is None:
-        need_row_numbers = not has_id
+        need_row_numbers = not has_id or not catalog.where("tconst is null or cast(tconst as string) = ''").isEmpty()
     df = with_row_numbers(catalog) if (need_row_numbers or not has_id) else catalog.withColumn("row_number", F.lit(None).cast("long"))
     tconst_raw = F.col("tconst").cast("string") if has_id else F.lit(None).cast("string")
     director_type = types["director"]
@@ -98,36 +105,39 @@ def violations(catalog: DataFrame) -> DataFrame:
     Kinds: ``duplicate_title_without_id``, ``null_title``, ``bad_score``,
     ``duplicate_id``.
     """
-    t = _with_titles(prepare_catalog(catalog))
-    dup_no_id = t.where((F.col("title_count") > 1) & (F.col("tconst_raw").isNull() | (F.col("tconst_raw") == ""))).select(
-        F.lit("duplicate_title_without_id").alias("kind"), "tconst", F.col("raw_title").alias("title"), F.lit(DUPLICATE_NO_ID_ERROR).alias("detail")
-    )
-    null_title = t.where(F.col("raw_title").isNull()).select(
-        F.lit("null_title").alias("kind"), "tconst", F.col("raw_title").alias("title"), F.lit("title is missing").alias("detail")
-    )
-    bad_score = t.where(F.col("score").isNull()).select(
-        F.lit("bad_score").alias("kind"), "tconst", F.col("raw_title").alias("title"), F.lit("score is not a number").alias("detail")
-    )
-    id_counts = t.groupBy("tconst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    dup_id = t.join(id_counts, "tconst").select(
-        F.lit("duplicate_id").alias("kind"), "tconst", F.col("raw_title").alias("title"), F.concat(F.lit("rows with this id: "), F.col("n").cast("string")).alias("detail")
+    return row_violations(store_rows(catalog))
+
+
+def store_rows(catalog: DataFrame) -> DataFrame:
+    """Prepared rows with what :func:`check_rows` needs to judge them."""
+    return _with_titles(prepare_catalog(catalog)).select(*TITLE_COLUMNS, "director_values", "raw_title", "tconst_raw", "title_count")
+
+
+def row_violations(t: DataFrame) -> DataFrame:
+    """:func:`violations` of prepared rows."""
+    no_id = F.col("tconst_raw").isNull() | (F.col("tconst_raw") == "")
+    ids = t.groupBy("tconst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    of = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "tconst", F.col("raw_title").alias("title"), detail.alias("detail"))
+    repeated = F.concat(F.lit("rows with this id: "), F.col("n").cast("string"))
+    return (
+        of(t.where((F.col("title_count") > 1) & no_id), "duplicate_title_without_id", F.lit(DUPLICATE_NO_ID_ERROR))
+        .unionByName(of(t.where(F.col("raw_title").isNull()), "null_title", F.lit("title is missing")))
+        .unionByName(of(t.where(F.col("score").isNull()), "bad_score", F.lit("score is not a number")))
+        .unionByName(of(t.join(ids, "tconst"), "duplicate_id", repeated))
     )
-    return dup_no_id.unionByName(null_title).unionByName(bad_score).unionByName(dup_id)
 
 
-def accepted_rows(catalog: DataFrame) -> DataFrame:
-    """Prepared rows the store accepts: non-null title and score, and no
-    duplicate title without an id."""
-    t = _with_titles(prepare_catalog(catalog))
-    return t.where(
-        F.col("raw_title").isNotNull()
-        & F.col("score").isNotNull()
-        & ~((F.col("title_count") > 1) & (F.col("tconst_raw").isNull() | (F.col("tconst_raw") == "")))
-    ).select(*TITLE_COLUMNS, "director_values")
+def check_rows(rows: DataFrame) -> None:
+    """Raise ``ValueError`` naming each kind of violation with its number of
+    rows and one example (one row per kind reaches the driver)."""
+    kinds = row_violations(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("tconst", "title", "detail"), F.struct("tconst", "title")).alias("e"))
+    found = kinds.orderBy("kind").collect()
+    if found:
+        raise ValueError("; ".join(f"{r['kind']}: {r['n']} row(s), e.g. {r['e']['tconst']} {r['e']['title']!r}: {r['e']['detail']}" for r in found))
 
 
 def index_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(titles, title_terms)`` from :func:`accepted_rows` output."""
+    """``(titles, title_terms)`` from :func:`store_rows` output."""
     titles = rows.select(*TITLE_COLUMNS)
     terms = rows.select(
         "tconst", F.explode(terms_of(F.col("actors"), F.col("director_values"), F.col("genres"))).alias("term")
@@ -139,11 +149,13 @@ def build_index(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(titles, title_terms)``.
 
     ``titles``: ``tconst, title, primary_title, director, genres, actors,
-    score`` for rows the store accepts (non-null title and score, no
-    duplicate title without an id). ``title_terms``: distinct ``(term,
-    tconst)`` from actors, director values and genres in one namespace.
+    score``. ``title_terms``: distinct ``(term, tconst)`` from actors,
+    director values and genres in one namespace. A catalogue with violations
+    (see :func:`violations`) is refused.
     """
-    return index_tables(accepted_rows(catalog))
+    rows = store_rows(catalog)
+    check_rows(rows)
+    return index_tables(rows)
 
 
 def duplicate_titles(catalog: DataFrame) -> DataFrame:

@@ -135,11 +135,11 @@ def active_slice(embeddings: DataFrame, config: DataFrame) -> DataFrame:
     """Embeddings of the configured model/version/dimension slice.
 
     ``config`` is a one-row frame ``(model_name, model_version,
-    vector_dimension)`` evaluated once as a scalar subquery (no join); the
-    model is never chosen as "latest row".
+    vector_dimension)`` evaluated once as a scalar subquery (no join); two
+    rows fail the job, and the model is never chosen as "latest row".
     """
     keys = ["model_name", "model_version", "vector_dimension"]
-    cfg = config.select(F.struct(*keys).alias("cfg")).limit(1).scalar()
+    cfg = config.select(F.struct(*keys).alias("cfg")).scalar()
     e = embeddings.where(F.col("active")) if "active" in embeddings.columns else embeddings
     cond = F.lit(True)
     for k in keys:

@@ -9,6 +9,7 @@ brute-force statement of the same result in DuckDB SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -283,9 +284,10 @@ tt AS (
 )
 
 
-def _rec_sql(n: int, lim: int) -> str:
-    """Closed-form recommendation for every catalogue title (brute force)."""
-    k = min(lim, n)
+def _rec_sql(n: int | str, lim: int) -> str:
+    """Closed-form recommendation for every catalogue title (brute force);
+    ``n`` is a number or a scalar subquery."""
+    k = f"least({lim}, {n})"
     return f"""
 ov AS (
   SELECT a.tconst AS q, b.tconst AS c, CAST(count(*) AS BIGINT) AS overlap
@@ -295,7 +297,7 @@ st1 AS (
     SELECT ov.q, ov.c, ov.overlap,
            row_number() OVER (PARTITION BY ov.q ORDER BY ov.overlap DESC, cat.score DESC, cat.title, ov.c) AS rk
     FROM ov JOIN cat ON cat.tconst = ov.c) WHERE rk <= {k}),
-pool AS (SELECT tconst, title, score FROM cat ORDER BY score DESC, title LIMIT {n + 1}),
+pool AS (SELECT tconst, title, score FROM cat ORDER BY score DESC, title LIMIT ({n} + 1)),
 st2 AS (
   SELECT r.tconst AS q, p.tconst AS c,
          row_number() OVER (PARTITION BY r.tconst ORDER BY p.score DESC, p.title) AS rk
@@ -412,7 +414,7 @@ from marquee.operators import evaluate as ev  # noqa: E402
 _EVAL_SQL = (
     _CAT_SQL
     + ","
-    + _rec_sql(8, CANDIDATE_LIMIT)
+    + _rec_sql("(SELECT max(top_n) FROM b_cases)", CANDIDATE_LIMIT)
     + """,
 res AS (SELECT c.*, cat.tconst AS q FROM b_cases c LEFT JOIN cat ON cat.title = c.query),
 crec AS (
@@ -442,7 +444,7 @@ fin2 AS (
 def _eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles, terms = catalog_index(spark, sf_dir)
     cases = b.eval_cases(spark, sf_dir)
-    return ev.case_results(cases, titles, terms, candidate_limit=CANDIDATE_LIMIT, max_top_n=8)
+    return ev.case_results(cases, titles, terms, candidate_limit=CANDIDATE_LIMIT)
 
 
 @register(
@@ -518,7 +520,7 @@ sims AS (
   SELECT q, c, dot / (sqrt(nq.n2) * sqrt(nc.n2)) AS sim
   FROM dots JOIN nrm nq ON nq.tconst = dots.q JOIN nrm nc ON nc.tconst = dots.c),
 st1 AS (SELECT * FROM (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rk FROM sims) WHERE rk <= {n}),
-pool AS (SELECT tconst FROM cat ORDER BY tconst LIMIT {n + 1}),
+pool AS (SELECT tconst FROM cat ORDER BY tconst LIMIT ({n} + 1)),
 st2 AS (
   SELECT r.tconst AS q, p.tconst AS c, row_number() OVER (PARTITION BY r.tconst ORDER BY p.tconst) AS rk
   FROM cat r CROSS JOIN pool p
@@ -659,10 +661,18 @@ def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.staleness(inv.fingerprint(spark, path), spark.read.parquet(stored_path))
 
 
-@register("row_ids")
+@register(
+    "row_ids",
+    _with(
+        _CURATED_SQL
+        + """
+SELECT 'row:' || CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, tconst) AS VARCHAR) AS tconst, title FROM curated"""
+    ),
+)
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: ``row:N`` ids for a catalogue file written without ids."""
-    path = cio.write_curated_csv(curated_typed(spark, sf_dir).drop("tconst"), scratch_path(spark, "noid-csv"))
+    """``row:N`` ids for catalogue files written in order, without ids."""
+    ordered = curated_typed(spark, sf_dir).orderBy(F.col("score").desc_nulls_last(), "tconst").drop("tconst")
+    path = cio.write_curated_csv(ordered, scratch_path(spark, "noid-csv"))
     titles, _ = ix.build_index(cio.read_curated_csv(spark, path))
     return titles.select("tconst", "title")
 
@@ -699,7 +709,9 @@ movies AS (
         + ","
         + _MOVIES_SQL
         + f""",
-req AS (SELECT DISTINCT p_name AS request_id, substring(p_name, 1, length(p_name) - 1) AS query FROM part),
+req AS (
+  SELECT DISTINCT p_name || '|' || query AS request_id, query
+  FROM (SELECT p_name, unnest([p_name, substring(p_name, 1, length(p_name) - 1)]) AS query FROM part)),
 rg AS (SELECT request_id, query, {_TRGM_SQL.format(x='query')} AS g FROM req),
 mg AS (SELECT *, {_TRGM_SQL.format(x='display_title')} AS dg, {_TRGM_SQL.format(x='primary_title')} AS pg FROM movies),
 sims AS (
@@ -719,13 +731,12 @@ FROM ranked WHERE rank <= 10"""
     ),
 )
 def fuzzy_title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct part name, last letter dropped, searched over the
-    served movies (display title from the backfill rule)."""
+    """Every distinct part name, as it is and with its last letter missing,
+    searched over the served movies (display title from the backfill rule)."""
     movies = _movies(spark, sf_dir).withColumn("weighted_score", r6("weighted_score"))
     part = b.table(spark, sf_dir, "part")
-    req = part.select(
-        F.col("p_name").alias("request_id"), F.expr("substring(p_name, 1, length(p_name) - 1)").alias("query")
-    ).distinct()
+    asked = F.explode(F.array(F.col("p_name"), F.expr("substring(p_name, 1, length(p_name) - 1)")))
+    req = part.select("p_name", asked.alias("query")).select(F.concat_ws("|", "p_name", "query").alias("request_id"), "query").distinct()
     r = se_.fuzzy_title_search(movies, req, threshold=0.3, limit=10)
     return r.withColumn("title_similarity", F.round("title_similarity", 9))
 
@@ -791,19 +802,24 @@ cd AS (
     SELECT tconst, CASE WHEN directors IS NULL OR directors = '\N' THEN []
                         ELSE list_filter(string_split(directors, ','), lambda x: x <> '' AND x <> '\N') END AS ids
     FROM b_crew)),
-d AS (SELECT tconst, nconst, 'director' AS role_type, CAST(credit_order AS BIGINT) AS credit_order, 'crew' AS source FROM cd),
+cw AS (
+  SELECT tconst, unnest(ids) AS nconst, generate_subscripts(ids, 1) AS credit_order FROM (
+    SELECT tconst, CASE WHEN writers = '\N' THEN [] ELSE string_split(writers, ',') END AS ids FROM b_crew)),
+d AS (
+  SELECT tconst, nconst, 'director' AS role_type, CAST(credit_order AS BIGINT) AS credit_order, 'crew' AS source, NULL AS category FROM cd
+  UNION ALL SELECT tconst, nconst, 'writer', CAST(credit_order AS BIGINT), 'crew', NULL FROM cw),
 p AS (
-  SELECT p.tconst, p.nconst, p.category AS role_type, CAST(p.ordering AS BIGINT) AS credit_order, 'principals' AS source
+  SELECT p.tconst, p.nconst, p.category AS role_type, CAST(p.ordering AS BIGINT) AS credit_order, 'principals' AS source, p.category
   FROM b_principals p
   WHERE p.nconst IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM d WHERE d.tconst = p.tconst AND d.nconst = p.nconst AND d.role_type = p.category)),
 u AS (SELECT * FROM d UNION ALL SELECT * FROM p)
-SELECT DISTINCT ON (tconst, nconst, role_type, credit_order) tconst, nconst, role_type, credit_order, source FROM u"""
+SELECT DISTINCT ON (tconst, nconst, role_type, credit_order) tconst, nconst, role_type, credit_order, source, category FROM u"""
     ),
 )
 def credits_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _sources(spark, sf_dir)
-    return fe.credits(src["crew"], src["principals"])
+    return fe.credits(src["crew"], src["principals"]).drop("job")
 
 
 @register(
@@ -813,18 +829,18 @@ def credits_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         + """,
 ids AS (
   SELECT tconst AS id FROM scored
-  UNION ALL SELECT 'row:' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'PROMO')
+  UNION ALL SELECT 'row:' || CAST(p_partkey AS VARCHAR) FROM part)
 SELECT id, coalesce(regexp_matches(id, '^tt[0-9]+$'), false) AS accepted FROM ids"""
     ),
 )
 def id_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store ids to backfill: curated ids plus synthetic ``row:N`` ids of
-    shorts (as a store built without ids would carry)."""
+    """Store ids to backfill: curated ids plus synthetic ``row:N`` ids of all
+    parts (as a store built without ids would carry)."""
     src = _sources(spark, sf_dir)
     scored = cu.score_titles(cu.joined_movies(src["titles"], src["ratings"], src["crew"]), VOTE_QUANTILE, MIN_VOTES)
     part = b.table(spark, sf_dir, "part")
     ids = scored.select("tconst").unionByName(
-        part.where(F.col("p_type") == "PROMO").select(F.concat(F.lit("row:"), F.col("p_partkey").cast("string")).alias("tconst"))
+        part.select(F.concat(F.lit("row:"), F.col("p_partkey").cast("string")).alias("tconst"))
     )
     return fe.validate_ids(ids)
 
@@ -982,10 +998,10 @@ FROM r WHERE rn = 1""",
 )
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events keyed by (user, event type), loaded in two batches (before and
-    after the median time); the latest row by time wins."""
+    after the middle of their time range); the latest row by time wins."""
     ev_ = b.table(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    mid = ev_.select(F.percentile(micros, 0.5).alias("m")).scalar()
+    mid = ev_.select(((F.min(micros) + F.max(micros)) / 2).alias("m")).scalar()
     first = ev_.where(micros <= mid)
     second = ev_.where(micros > mid)
     out = ln.upsert_latest(first, second, ["user_id", "event_type"], ["ts", "event_id"])
@@ -1038,11 +1054,11 @@ def external_id_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snapshot_run_trace")
 def snapshot_run_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: written source files registered as snapshots of run 1,
-    the curated movies' provenance, traced back from the run."""
+    """Rows only: all five written source files registered as snapshots of
+    run 1, the curated movies' provenance, traced back from the run."""
     folder = _written_sources(spark, sf_dir)
-    fps = inv.fingerprint(spark, f"{folder}/title.basics.tsv")
-    snaps = ln.register_snapshots(fps, "raw_tsv", "title.basics", "2026-01-01")
+    fps = reduce(DataFrame.unionByName, [inv.fingerprint(spark, f"{folder}/{name}") for name in raw.SOURCE_FILES.values()])
+    snaps = ln.register_snapshots(fps, "raw_tsv", "sources", "2026-01-01")
     _, bridge = ln.run_log(snaps, 1, "raw_load")
     movies = curated_typed(spark, sf_dir)
     sid = snaps.agg(F.min("source_snapshot_id")).scalar()
@@ -1052,18 +1068,22 @@ def snapshot_run_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("text_feature_versions")
 def text_feature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: soup features built twice - run 2 sees a names table that
-    also holds the previously missing people - then one active row per
-    feature contract."""
+    """Soup features built three times: run 2 sees other names for the people
+    with odd keys, run 3 the first names again, so that the rows of run 1 are
+    active once more."""
     src = _sources(spark, sf_dir)
     run1 = fe.recommendation_soup(curated_typed(spark, sf_dir))
     sup = b.table(spark, sf_dir, "supplier")
-    names2 = sup.select(F.concat(F.lit("nm"), F.col("s_suppkey").cast("string")).alias("nconst"), F.col("s_name").alias("primaryName"))
+    other = F.when(F.col("s_suppkey") % 2 == 1, F.concat("s_name", F.lit(" jr"))).otherwise(F.col("s_name"))
+    names2 = sup.select(F.concat(F.lit("nm"), F.col("s_suppkey").cast("string")).alias("nconst"), other.alias("primaryName"))
     cur2 = cu.curate(src["titles"], src["crew"], src["ratings"], names2, src["principals"], vote_quantile=VOTE_QUANTILE, min_votes=MIN_VOTES, sort=False)
     run2 = fe.recommendation_soup(cur2)
     v1 = fe.add_feature_run(None, run1, 1)
     v2 = fe.add_feature_run(v1, run2, 2)
-    return v2.select("tconst", "feature_name", "feature_version", "source_text_sha256", "source_etl_run_id", "active")
+    v3 = fe.add_feature_run(v2, run1, 3)
+    return v3.select(
+        "tconst", "feature_name", "feature_version", "source_text_sha256", "source_etl_run_id", "last_built_run_id", "active"
+    )
 
 
 @register("one_active_check")
@@ -1086,7 +1106,9 @@ _SOUP_RUN2 = _suffix_ctes(_SOUP_RUN1, _RUN_CTES + ["b_names"], "_2")
 
 _FEATURE_VERSIONS_SQL = _with(
     """
-b_names_2 AS (SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, s_name AS primaryName FROM supplier),"""
+b_names_2 AS (
+  SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, CASE WHEN s_suppkey % 2 = 1 THEN s_name || ' jr' ELSE s_name END AS primaryName
+  FROM supplier),"""
     + _SOUP_RUN1
     + ","
     + _SOUP_RUN2
@@ -1100,7 +1122,8 @@ fv AS (
 fva AS (
   SELECT tconst, 'recommendation_soup' AS feature_name, 'v1' AS feature_version, h AS source_text_sha256,
          CAST(run AS BIGINT) AS source_etl_run_id,
-         row_number() OVER (PARTITION BY tconst ORDER BY run DESC, h) = 1 AS active
+         CAST(CASE WHEN run = 1 THEN 3 ELSE 2 END AS BIGINT) AS last_built_run_id,
+         run = 1 AS active
   FROM fv)
 """
 )

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee.operators.curate import DEFAULT_MIN_VOTES, DEFAULT_VOTE_QUANTILE, curate_sources
+from marquee.operators.index import TITLE_COLUMNS
 from marquee.plans.store import build_store
+from marquee.session import scratch_path, write_table
 from marquee.sources.curated_io import read_curated_csv, write_curated_csv, write_curated_parquet
 from marquee.sources.inventory import fingerprint, is_stale
 from marquee.sources.raw import load_sources
@@ -65,19 +70,28 @@ def build_store_if_stale(spark: SparkSession, dataset_path: str, store_path: str
     """Reuse the store at ``store_path`` unless the dataset's fingerprint
     (path, size, mtime, SHA-256 per file) differs from the stored one.
 
+    A build goes into a folder of its own, and ``source_snapshots``, written
+    last, names it together with the fingerprint taken before the build: a
+    build that is refused or breaks off leaves the earlier store in place.
     Returns ``(titles, title_terms, rebuilt)``.
     """
-    current = fingerprint(spark, dataset_path)
-    stored_path = f"{store_path.rstrip('/')}/source_snapshots"
+    base = store_path.rstrip("/")
+    stored_path = f"{base}/source_snapshots"
+    current = write_table(fingerprint(spark, dataset_path), scratch_path(spark, "fingerprint"))
     try:
         stored = spark.read.parquet(stored_path)
-        stale = is_stale(current, stored)
-    except Exception:  # noqa: BLE001 - no store yet
-        stale = True
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None  # no store yet
+    stale = stored is None or is_stale(current, stored)
     if stale:
+        build = f"build-{uuid.uuid4().hex[:12]}"
         catalog = read_curated_csv(spark, dataset_path) if not dataset_path.rstrip("/").endswith(".parquet") else spark.read.parquet(dataset_path)
-        build_store(catalog, store_path)
-        current.write.mode("overwrite").parquet(stored_path)
-    titles = spark.read.parquet(f"{store_path.rstrip('/')}/titles")
-    terms = spark.read.parquet(f"{store_path.rstrip('/')}/title_terms")
+        build_store(catalog, f"{base}/{build}")
+        current.withColumn("build", F.lit(build)).write.mode("overwrite").parquet(stored_path)
+    else:
+        build = stored.first()["build"]
+    titles = spark.read.parquet(f"{base}/{build}/titles").select(*TITLE_COLUMNS)
+    terms = spark.read.parquet(f"{base}/{build}/title_terms")
     return titles, terms, stale

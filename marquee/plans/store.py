@@ -11,22 +11,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from marquee.operators.index import accepted_rows, index_tables
+from marquee.operators.index import TITLE_COLUMNS, check_rows, index_tables, store_rows
 from marquee.session import scratch_path, write_table
 
 
 def build_store(catalog: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Index ``catalog`` and persist ``titles`` and ``title_terms``.
 
-    ``title_terms`` is written sorted by term within files so Parquet
-    min/max statistics skip row groups on term lookups.
+    The (possibly expensive) catalogue plan runs once, for the titles table;
+    the checks and the terms read that table. A catalogue with violations is
+    refused with ``ValueError``: no row is dropped silently. ``title_terms``
+    is range-partitioned and sorted by term, so that each file holds its own
+    stretch of terms and a lookup skips the others.
     """
     spark = catalog.sparkSession
     base = path or scratch_path(spark, "store")
-    # one pass over the (possibly expensive) catalogue plan; both tables are
-    # derived from the written rows
-    rows = write_table(accepted_rows(catalog), f"{base}/_accepted")
-    titles, terms = index_tables(rows)
-    titles_t = write_table(titles, f"{base}/titles")
-    terms_t = write_table(terms, f"{base}/title_terms", sort_within=["term"])
-    return titles_t, terms_t
+    rows = write_table(store_rows(catalog), f"{base}/titles")
+    check_rows(rows)
+    _, terms = index_tables(rows)
+    terms_t = write_table(terms.repartitionByRange("term"), f"{base}/title_terms", sort_within=["term"])
+    return rows.select(*TITLE_COLUMNS), terms_t

@@ -50,18 +50,22 @@ def get_session(
 
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there; it is used as is.
-    Only when it is unset (local tests) is a local folder created, once per
-    application, and registered.
+    Where it is unset, a local master (tests) gets a fresh local folder, once
+    per application; on any other master this raises, because executors do
+    not see each other's disks.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = sc.applicationId
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="marquee-ckpt-")
@@ -78,7 +82,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def write_table(df: DataFrame, path: str, sort_within: list[str] | None = None) -> DataFrame:
@@ -95,24 +101,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, scratch_path(df.sparkSession, name))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python-side checks can open local paths."""
-    return path[5:] if path.startswith("file:") else path
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove the scratch folders of this application (call it when no
+    result that reads them is needed any more)."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    for path in _SCRATCH.pop(sc.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 __all__ = [
     "get_session",
     "checkpoint_dir",
     "scratch_path",
-    "cut_lineage",
+    "clean_scratch",
     "write_table",
     "materialize",
-    "local_fs_path",
     "DEFAULT_CONF",
 ]

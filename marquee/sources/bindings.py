@@ -13,11 +13,11 @@ ratings        lineitem per part: ``numVotes = count``,
 principals     lineitem: one credit per line, ``ordering = orderkey*8 +
                linenumber``, ``nconst = 'nm' + suppkey``, return flag A/R/N →
                actor/actress/writer
-crew           per part the four smallest distinct supplier ids as a comma
-               list (the curation keeps three); parts of size <= 3 carry the
-               missing marker instead
-names          supplier: ``nconst = 'nm' + suppkey``, ``primaryName = s_name``;
-               suppliers with a negative balance are absent (missing names)
+crew           per part all distinct supplier ids in order as a comma list
+               (the curation keeps three); parts of size <= 3 carry the
+               missing marker instead; writers: the suppliers of lines with
+               return flag N
+names          supplier: ``nconst = 'nm' + suppkey``, ``primaryName = s_name``
 =============  ==============================================================
 """
 
@@ -77,36 +77,32 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def crew(spark: SparkSession, sf_dir: str, ids_per_title: int = 4) -> DataFrame:
+def crew(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    pairs = li.select("l_partkey", "l_suppkey").dropDuplicates()
-    rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
-    firsts = pairs.withColumn("rn", rn).where(F.col("rn") <= ids_per_title)
-    lists = firsts.groupBy("l_partkey").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "l_suppkey"))).alias("s")
+    lists = li.groupBy("l_partkey").agg(
+        F.array_sort(F.collect_set("l_suppkey")).alias("d"),
+        F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "N", F.col("l_suppkey")))).alias("w"),
     )
     joined = lists.join(part, lists.l_partkey == part.p_partkey)
-    text = F.array_join(F.transform("s", lambda x: _nconst(x["l_suppkey"])), ",")
+    text = lambda ids: F.array_join(F.transform(ids, _nconst), ",")
     return joined.select(
         _tconst(F.col("l_partkey")).alias("tconst"),
-        F.when(F.col("p_size") <= 3, F.lit(MISSING_MARKER)).otherwise(text).alias("directors"),
+        F.when(F.col("p_size") <= 3, F.lit(MISSING_MARKER)).otherwise(text("d")).alias("directors"),
+        F.when(F.size("w") == 0, F.lit(MISSING_MARKER)).otherwise(text("w")).alias("writers"),
     )
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = table(spark, sf_dir, "supplier")
-    return sup.where(F.col("s_acctbal") >= 0).select(
-        _nconst(F.col("s_suppkey")).alias("nconst"), F.col("s_name").alias("primaryName")
-    )
+    return sup.select(_nconst(F.col("s_suppkey")).alias("nconst"), F.col("s_name").alias("primaryName"))
 
 
-def eval_cases(spark: SparkSession, sf_dir: str, lines_per_case: int = 8) -> DataFrame:
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed cases from orders: the first line's part name is the query, the
     other lines' part names are expected (returned lines: expected absent);
     ``top_n`` is the number of lines; finished orders expect the not-found
-    error. At most ``lines_per_case`` lines per order are used (map-side
-    WindowGroupLimit), so the per-case lists stay bounded.
+    error.
     """
     from marquee.functions.scalars import NOT_FOUND_ERROR
 
@@ -114,7 +110,7 @@ def eval_cases(spark: SparkSession, sf_dir: str, lines_per_case: int = 8) -> Dat
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = li.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= lines_per_case).join(part, "l_partkey")
+    lines = li.withColumn("rn", F.row_number().over(w)).join(part, "l_partkey")
     per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rn", "p_name", "l_returnflag"))).alias("ls"))
     rest = F.filter("ls", lambda x: x["rn"] > 1)
     return per.join(orders, "l_orderkey").select(
@@ -163,21 +159,19 @@ b_principals AS (
 b_crew AS (
   SELECT 'tt' || lpad(CAST(s.l_partkey AS VARCHAR), 7, '0') AS tconst,
          CASE WHEN p.p_size <= 3 THEN '\N'
-              ELSE string_agg('nm' || CAST(s.l_suppkey AS VARCHAR), ',' ORDER BY s.l_suppkey) END AS directors
-  FROM (SELECT l_partkey, l_suppkey,
-               row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS rn
-        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) s
+              ELSE string_agg('nm' || CAST(s.l_suppkey AS VARCHAR), ',' ORDER BY s.l_suppkey) END AS directors,
+         coalesce(string_agg('nm' || CAST(s.l_suppkey AS VARCHAR), ',' ORDER BY s.l_suppkey) FILTER (s.writes), '\N') AS writers
+  FROM (SELECT l_partkey, l_suppkey, bool_or(l_returnflag = 'N') AS writes FROM lineitem GROUP BY ALL) s
   JOIN part p ON p.p_partkey = s.l_partkey
-  WHERE s.rn <= 4
   GROUP BY s.l_partkey, p.p_size),
 b_names AS (
   SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, s_name AS primaryName
-  FROM supplier WHERE s_acctbal >= 0),
+  FROM supplier),
 b_lines AS (
   SELECT l.l_orderkey, l.rn, p.p_name, l.l_returnflag FROM (
     SELECT l_orderkey, l_partkey, l_returnflag,
            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
-    FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.rn <= 8),
+    FROM lineitem) l JOIN part p ON p.p_partkey = l.l_partkey),
 b_cases AS (
   SELECT 'o' || CAST(o.o_orderkey AS VARCHAR) AS id,
          max(CASE WHEN x.rn = 1 THEN x.p_name END) AS query,

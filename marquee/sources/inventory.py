@@ -87,12 +87,12 @@ def size_violations(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE
 
 
 def check_size_cap(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_BYTES) -> None:
-    """Fail closed: raise when any listed file exceeds the cap (one count
-    reaches the driver; the comparison runs as a job)."""
+    """Fail closed: raise when any of the required files exceeds the cap (the
+    comparison runs as a job; at most the manifest's names are returned)."""
     over = size_violations(inventory, max_file_bytes)
     n = over.count()
     if n:
-        names = [r["file_name"] for r in over.select("file_name").limit(10).collect()]
+        names = [r["file_name"] for r in over.select("file_name").orderBy("file_name").collect()]
         raise ValueError(f"{n} source file(s) exceed {max_file_bytes} bytes: {', '.join(names)}")
 
 

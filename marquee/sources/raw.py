@@ -11,8 +11,6 @@ so the reader repartitions after the scan.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,22 +43,26 @@ def tsv_reader(spark: SparkSession, null_marker: bool = True):
     return r
 
 
-def resolve_source_path(in_dir: str, file_name: str) -> str:
-    """``name.tsv`` or ``name.tsv.gz`` inside ``in_dir`` (local check when
-    the folder is local; remote folders are used as given)."""
-    base = in_dir.rstrip("/")
-    local = base[5:] if base.startswith("file:") else base
-    if "://" not in local and not os.path.exists(os.path.join(local, file_name)):
-        if os.path.exists(os.path.join(local, file_name + ".gz")):
-            return f"{base}/{file_name}.gz"
-    return f"{base}/{file_name}"
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that Spark reads it from."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def resolve_source_path(spark: SparkSession, in_dir: str, file_name: str) -> str:
+    """``name.tsv`` inside ``in_dir`` or, where only that is there, the
+    published ``name.tsv.gz``."""
+    plain = f"{in_dir.rstrip('/')}/{file_name}"
+    return plain + ".gz" if not path_exists(spark, plain) and path_exists(spark, plain + ".gz") else plain
 
 
 def read_source(spark: SparkSession, path: str, kind: str, min_partitions: int | None = None) -> DataFrame:
     """One raw file as the typed frame of ``kind`` (one scan, columns pruned).
 
     The missing marker becomes null, except in the list-valued text columns
-    (genres, directors), where the list splitter interprets it.
+    (genres, directors), where the list splitter interprets it. A gzip file
+    is read by one task, so its rows are dealt out after the scan
+    (``min_partitions``, else the session's shuffle partitions).
     """
     raw = tsv_reader(spark, null_marker=False).csv(path)
     cols = []
@@ -68,15 +70,15 @@ def read_source(spark: SparkSession, path: str, kind: str, min_partitions: int |
         v = F.col(c) if (kind, c) in _KEEP_MARKER else F.nullif(F.col(c), F.lit(MISSING_MARKER))
         cols.append((v.try_cast(t) if t != "string" else v).alias(c))
     df = raw.select(*cols)
-    if path.endswith(".gz") and min_partitions:
-        df = df.repartition(min_partitions)
+    if path.endswith(".gz"):
+        df = df.repartition(min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df
 
 
 def load_sources(spark: SparkSession, in_dir: str, min_partitions: int | None = None) -> dict[str, DataFrame]:
     """The five source tables of a folder, keyed like :data:`SOURCE_FILES`."""
     return {
-        kind: read_source(spark, resolve_source_path(in_dir, name), kind, min_partitions)
+        kind: read_source(spark, resolve_source_path(spark, in_dir, name), kind, min_partitions)
         for kind, name in SOURCE_FILES.items()
     }
 
