@@ -106,11 +106,6 @@ def soup(actors: Column, director: Column, genres: Column) -> Column:
     )
 
 
-def row_id(tconst: str | Column, row_number: str | Column) -> Column:
-    """Title id or the synthetic ``row:N`` id when the id is missing/empty."""
-    return F.coalesce(F.nullif(_col(tconst), F.lit("")), F.concat(F.lit("row:"), _col(row_number).cast("string")))
-
-
 def join_or_none(arr: str | Column, sep: str = ", ") -> Column:
     """Joined list text, ``(none)`` when empty."""
     return F.coalesce(F.nullif(F.array_join(_col(arr), sep), F.lit("")), F.lit("(none)"))

@@ -11,14 +11,14 @@ Exact without comparing all pairs (prefix filtering): order all trigrams by
 document frequency (rarest first). A set ``A`` of size ``a`` keeps its first
 ``a - ceil(t*a) + 1`` trigrams as its *prefix*; two sets with Jaccard
 ``>= t`` always share a trigram inside both prefixes. Candidates come from
-joining prefixes only — frequent trigrams sit at the end of the order and
-rarely enter a prefix — and every candidate is then verified exactly.
+joining prefixes only, of sets whose sizes allow the threshold at all
+(``t*a <= b <= a/t``), and every candidate is then verified exactly. At low
+thresholds prefixes are long and do hold frequent trigrams; the order puts
+them last, and distinct sets bound what a frequent one can meet.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ def _prefixes(sets: DataFrame, key: list[str], df: DataFrame, threshold: float)
     rows = rows.join(df, "g", "left").withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
     w = Window.partitionBy(*key).orderBy(F.col("df"), F.col("g"))
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - F.lit(1e-9)) + 1
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= plen).select(*key, "g")
+    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= plen).select(*key, "g", "n")
 
 
 def jaccard(a: F.Column, b: F.Column) -> F.Column:
@@ -90,9 +90,10 @@ def fuzzy_title_search(
         F.col("request_id").cast("string"), F.col("query").cast("string"), F.array_sort(trigrams(F.col("query"))).alias("rgrams")
     )
     rsets = req.where(F.size("rgrams") > 0).select(F.col("rgrams").alias("grams")).distinct()
-    rp = _prefixes(rsets, ["grams"], df, threshold).withColumnRenamed("grams", "rgrams")
+    rp = _prefixes(rsets, ["grams"], df, threshold).withColumnsRenamed({"grams": "rgrams", "n": "rn"})
     tp = _prefixes(tsets, ["grams"], df, threshold)
-    pairs = rp.join(tp, "g").select("rgrams", "grams").distinct()
+    t = F.lit(float(threshold) - 1e-9)
+    pairs = rp.join(tp, "g").where((F.col("n") >= t * F.col("rn")) & (F.col("rn") >= t * F.col("n"))).select("rgrams", "grams").distinct()
     pairs = pairs.withColumn("sim", jaccard(F.col("grams"), F.col("rgrams"))).where(F.col("sim") >= F.lit(float(threshold)))
     hits = pairs.join(best, "grams").groupBy("rgrams", "tconst").agg(F.max("sim").alias("title_similarity"))
     scored = req.join(hits, "rgrams").join(m, "tconst")
@@ -106,8 +107,3 @@ def fuzzy_title_search(
     return ranked.select(
         "request_id", "query", F.col("rank").cast("int"), "tconst", "display_title", "primary_title", "weighted_score", "title_similarity"
     )
-
-
-def min_prefix_length(n: int, threshold: float) -> int:
-    """Prefix length used for a set of ``n`` trigrams (for documentation/tests)."""
-    return n - math.ceil(n * threshold - 1e-9) + 1

@@ -43,7 +43,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.session import materialize
 
 DEFAULT_HOT_MIN_DF = "auto"
 DEFAULT_PAIR_BUDGET = 64  # rare-feature pairs allowed per feature row ("auto")
@@ -113,7 +112,6 @@ def topk_shared(
     hot_min_df: int | str = DEFAULT_HOT_MIN_DF,
     max_hot: int = DEFAULT_MAX_HOT,
     carry: tuple[str, ...] = (),
-    materialize_inputs: bool = False,
 ) -> DataFrame:
     """Top ``k`` candidates per query item.
 
@@ -121,11 +119,6 @@ def topk_shared(
     ``items``: ``(id, score, title)`` for ``overlap``; ``(id)`` for ``cosine``.
     ``queries``: optional ``(id)`` restricting the query side.
     ``carry``: further ``items`` columns copied to the output rows.
-    ``materialize_inputs``: write the tagged feature table and the item
-    table (hot vector, norm) once to the shared scratch folder so every
-    branch starts from those scans. Off by default: within one query the
-    identical sub-plans already share their shuffles (exchange reuse), and
-    measured at sf0.1 the extra writes cost more than they save.
 
     Returns ``(q, c, dot, sim, rank, <candidate attributes>)``; ``sim`` is
     the cosine for ``cosine`` and equals ``dot`` for ``overlap``.
@@ -146,9 +139,6 @@ def topk_shared(
         .join(hv, "id", "left")
         .withColumn("hv", F.coalesce(F.col("hv"), F.array().cast(_HV_TYPE)))
     )
-    if materialize_inputs:
-        tagged = materialize(tagged, "topk-feats")
-        it = materialize(it, "topk-items")
     qit = it if queries is None else it.join(queries.select("id"), "id", "left_semi")
 
     cand_cols = ["c", *attrs, "c_n2", "hc"]
@@ -227,27 +217,3 @@ def topk_shared(
         order = [F.col("sim").desc(), F.col("c")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("q", "c", "dot", "sim", "rank", *attrs)
-
-
-def brute_force_topk(feats: DataFrame, items: DataFrame, k: int, mode: str = "overlap") -> DataFrame:
-    """Reference plan: join every pair sharing a feature (small inputs only)."""
-    attrs = ["score", "title"] if mode == "overlap" else []
-    f = feats.select("id", "feat", F.col("w").cast("bigint").alias("w"))
-    norms = f.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
-    pairs = (
-        f.alias("a")
-        .join(f.alias("b"), "feat")
-        .where(F.col("a.id") != F.col("b.id"))
-        .groupBy(F.col("a.id").alias("q"), F.col("b.id").alias("c"))
-        .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("dot"))
-    )
-    it = items.select(F.col("id").alias("c"), *attrs).join(norms.withColumnRenamed("id", "c"), "c")
-    p = pairs.join(it, "c").join(norms.select(F.col("id").alias("q"), F.col("n2").alias("q_n2")), "q")
-    if mode == "overlap":
-        p = p.withColumn("sim", F.col("dot").cast("double"))
-        order = [F.col("dot").desc(), F.col("score").desc_nulls_last(), F.col("title").asc_nulls_last(), F.col("c")]
-    else:
-        p = p.withColumn("sim", F.col("dot") / (F.sqrt(F.col("q_n2")) * F.sqrt(F.col("n2"))))
-        order = [F.col("sim").desc(), F.col("c")]
-    r = p.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
-    return r.select("q", "c", "dot", "sim", "rank", *attrs)

@@ -6,12 +6,13 @@ against all candidate vectors, planned as a blocked matrix product:
 * vectors are hashed into ``B`` blocks; the query side of block pair
   ``(i, j)`` is block ``i``, the candidate side block ``j``;
 * ``cogroup(...).applyInPandas`` multiplies the two blocks with numpy (one
-  BLAS call per pair) and emits only each query's best ``k`` of that pair;
+  BLAS call per pair) and emits exactly each query's best ``k`` of that pair
+  by the full order below, however many candidates tie;
 * a final ``row_number() <= k`` per query merges the ``B`` partial lists.
 
-Work is ``O(N^2 d)`` flops spread over ``B^2`` tasks; what crosses the
-network is ``2·N·B`` vectors plus ``N·B·k`` result rows, never the ``N^2``
-pairs. Ties: distance asc, score desc (nulls last), title asc, id asc.
+Work is ``O(Q·N·d)`` flops for ``Q`` queries spread over ``B^2`` tasks; what
+crosses the network is ``(Q + N)·B`` vectors plus ``Q·B·k`` result rows, not
+the ``Q·N`` pairs. Ties: distance asc, score desc (nulls last), title asc, id asc.
 Zero vectors have no defined cosine and are never returned.
 """
 
@@ -48,6 +49,14 @@ def _block_topk(k: int):
         kk = min(k, dist.shape[1])
         kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
         rows, cols = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+        # place of each candidate among equal distances
+        by_tie = cpdf.assign(no_title=cpdf["title"].isna(), title=cpdf["title"].fillna(""), s=-cpdf["score"].astype(float))
+        place = np.empty(len(cpdf), np.int64)
+        place[by_tie.reset_index(drop=True).sort_values(["s", "no_title", "title", "id"], na_position="last").index] = np.arange(len(cpdf))
+        order = np.lexsort((place[cols], dist[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[best], cols[best]
         out = pd.DataFrame(
             {
                 "q": qids[rows],

@@ -914,11 +914,21 @@ def vector_rerank_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "embedding_integrity",
-    f"""SELECT CAST(vec_id AS VARCHAR) AS id, 'dimension' AS problem FROM embeddings
-WHERE embedding IS NULL OR len(embedding) <> {VECTOR_DIM} OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))""",
+    _with(
+        _CURATED_SQL
+        + f""",
+e AS (SELECT 'tt' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS id, embedding FROM embeddings)
+SELECT id, 'dimension' AS problem FROM e
+WHERE embedding IS NULL OR len(embedding) <> {VECTOR_DIM} OR list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x)))
+UNION ALL SELECT id, 'orphan' FROM e WHERE id NOT IN (SELECT tconst FROM curated)"""
+    ),
 )
 def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vx.embedding_integrity(_vectors(spark, sf_dir), VECTOR_DIM)
+    """Embeddings of wrong size or content, and those of titles that have no
+    text feature (every title outside the curated catalogue)."""
+    emb, _ = _title_embeddings(spark, sf_dir)
+    features = fe.recommendation_soup(curated_typed(spark, sf_dir))
+    return vx.embedding_integrity(emb.withColumnRenamed("tconst", "id"), VECTOR_DIM, features.select(F.col("tconst").alias("id")))
 
 
 # Embedding slice binding: every driver embedding belongs to one configured

@@ -146,3 +146,15 @@ def test_fuzzy_search_many_duplicates_matches_brute_force(spark):
     )
     assert got == [(r["request_id"], r["tconst"]) for r in brute.collect()]
     assert len(got) == 12
+
+
+def test_vector_topk_emits_k_of_many_ties(spark):
+    from marquee.operators.vectors import _block_topk
+    import pandas as pd
+
+    same = pd.DataFrame({"id": [str(i) for i in range(400)], "embedding": [[1.0, 2.0]] * 400, "score": [float(i % 7) for i in range(400)], "title": [None if i % 5 == 0 else f"t{i % 11}" for i in range(400)]})
+    out = _block_topk(10)(same, same)
+    assert len(out) == 400 * 10
+    first = out[out["q"] == "0"]
+    order = same[same["id"] != "0"].assign(nt=lambda d: d["title"].isna(), t=lambda d: d["title"].fillna(""), s=lambda d: -d["score"])
+    assert list(first["c"]) == list(order.sort_values(["s", "nt", "t", "id"])["id"][:10])
