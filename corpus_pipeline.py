@@ -71,12 +71,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with whether they decode to its text."""
-    ids, back = unused(docs, "ids"), unused(docs, "decoded")
-    encoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, into=ids)
+    ids, back, seal = (unused(docs, n) for n in ("ids", "decoded", "text_hash"))
+    # the text itself goes no further than the encoder; its hash does
+    hashed = docs.withColumn(seal, F.sha2(F.coalesce("text", F.lit("")), 256))
+    encoded = bpe.encode_documents(hashed.select("doc_id", "lang", "source", seal, "text"), TOKENIZER, into=ids).drop("text")
     decoded = bpe.decode_documents(encoded, TOKENIZER, ids=ids, into=back)
     return decoded.select(
         "doc_id", "lang", "source", F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n_tokens"),
-        (F.col(back) == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.sha2(back, 256) == F.col(seal)).alias("round_trip"),
     )
 
 

@@ -35,9 +35,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters that every library puts into the same classes of that split.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
 #: Most fragments that a task remembers; then it starts anew.
-CACHE_FRAGMENTS = 300_000
+CACHE_FRAGMENTS = 150_000
 #: Bytes of text that are encoded before results are handed on.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,8 +48,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+class Decoder:
+    """The bytes of every id of a tokenizer file: all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        plain = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special.values()}
+        self.bytes_of = plain | {i: s for s, i in special.items()}
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class ForcedBoundaryEncoder:
-    """Encoder and decoder for one tokenizer file."""
+    """Encoder for one tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,7 +86,6 @@ class ForcedBoundaryEncoder:
         alphabet = byte_alphabet()
         vocabulary = spec["model"]["vocab"]
         tokens = {i: bytes(alphabet[c] for c in t) for t, i in vocabulary.items() if i not in self.special.values()}
-        self.bytes_of = tokens | {i: s for s, i in self.special.items()}
         self.cuts = self._cut_table(tokens.values())
         self.ranks = self._by_rank(spec, tokens)
         self.known: dict[bytes, bytes] = {}
@@ -140,15 +154,17 @@ class ForcedBoundaryEncoder:
     def count(self, raw: bytes) -> int:
         return sum(map(len, self._packed(raw))) // 4
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about CHUNK_BYTES in one column."""
     array = batch.column(column)
@@ -198,7 +214,7 @@ def decode_documents(df: DataFrame, path: str, ids: str = "ids", into: str = "de
     """Add string ``into``: the text that the ids stand for (null: empty)."""
 
     def make(column: pa.Array) -> pa.Array:
-        return pa.array([encoder(path).decode(x.as_py() or []) for x in column], pa.string())
+        return pa.array([decoder(path).decode(x.as_py() or []) for x in column], pa.string())
 
     return _with_column(df, ids, into, "string", make)
 
@@ -212,4 +228,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     return _with_column(df, text, into, "bigint", make)
 
 
-__all__ = ["ForcedBoundaryEncoder", "encode_documents", "decode_documents", "count_tokens", "encoder"]
+__all__ = ["Decoder", "ForcedBoundaryEncoder", "encode_documents", "decode_documents", "count_tokens", "decoder", "encoder"]
