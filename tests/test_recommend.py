@@ -157,8 +157,8 @@ def test_violations_reported(spark):
     cat = spark.createDataFrame(rows, "tconst string, title string, director string, genres string, score string, actors string")
     kinds = sorted(r["kind"] for r in violations(cat).collect())
     assert kinds == ["bad_score", "duplicate_title_without_id", "duplicate_title_without_id"]
-    titles, _ = build_index(cat)
-    assert titles.count() == 0
+    with pytest.raises(ValueError, match="bad_score.*duplicate_title_without_id"):
+        build_index(cat)  # refused as a whole, not thinned out
 
 
 def test_missing_required_columns(spark):
