@@ -1,6 +1,7 @@
 """The operators' own interfaces and inner parts, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import xxhash
 from llm_tables import components_by_pairs
 from pyspark.sql import functions as F
 
-from marquee.llm import chat, html, licenses, mixing, quality, secrets, simhash, token_counts
+from marquee.llm import chat, html, license_rules, licenses, mixing, quality, secrets, simhash, token_counts
 from marquee.llm.license_rules import ROOTS, RULES
 
 
@@ -18,6 +19,51 @@ def test_every_rule_is_reachable_through_a_root():
         assert any(root in keyword for keyword in r.keywords for root in ROOTS), r
 
 
+def _examples(pattern):
+    """Texts of a word pattern: without and with all that is optional, by the first and by the last choice."""
+
+    def say(body, full, last):
+        out = []
+        for token in license_rules._tokens(license_rules._spread(body)):
+            if token.endswith("?"):
+                if not full:
+                    continue
+                token = token[:-1]
+            if token.startswith("("):
+                out.append(say(token[1:-1].split("|")[-1 if last else 0], full, last))
+                continue
+            token = re.sub(r"\[(.)[^]]*(.)\]|\[(.)\]", lambda m: (m[2] if last else m[1]) or m[3], token.replace(r"\S+", "some"))
+            out.append(re.sub(r"(.)\?", r"\1" if full else "", token))
+        return " ".join(x for x in out if x)
+
+    return {say(pattern, full, last) for full in (False, True) for last in (False, True)}
+
+
+def test_every_name_passes_its_own_gate():
+    listed = [(row[0], name) for row in license_rules._rows(license_rules.FAMILIES) for name in row[2].split(" ; ")]
+    listed += [tuple(row) for row in license_rules._rows(license_rules.NOTICES)] + list(license_rules.BASE)
+    grants = [(label, f"{license_rules.GRANT} {name}") for label, name in listed]
+    tags = [(row[0], f"{license_rules.TAG} {row[1]}") for row in license_rules._rows(license_rules.FAMILIES)]
+    by_pattern = {}
+    for r in RULES:
+        by_pattern.setdefault((r.label, r.pattern), r)
+    for label, pattern in listed + tags + grants:
+        rule = by_pattern.get((label, license_rules.compile_words(pattern)))
+        assert rule or (label, pattern) in grants, pattern  # notices have no grants
+        for text in _examples(pattern) if rule else ():
+            assert re.search(rule.pattern, "".join(f" {w} " for w in text.split())), (pattern, text)
+            assert all(k in f" {text} " for k in rule.keywords) and any(root in f" {text} " for root in ROOTS), (pattern, text)
+
+
+def test_names_without_the_usual_word_of_their_license(spark):
+    texts = {
+        "Released under the Expat License": "mit", "the Internet Systems Consortium license": "isc", "see ASL 2.0": "apache-2",
+        "CC Zero": "cc0-1.0", "a PSF license": "python-2.0", "the Responsible AI License": "openrail",
+    }
+    found = licenses.scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["text"]: [d["label"] for d in r["licenses"]["detections"]] for r in found} == {t: [label] for t, label in texts.items()}
+
+
 def test_contained_detections_of_lower_priority_go(spark):
     text = "licensed under the gnu general public license version 3 ; then apache license alone, all rights reserved"
     rows = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()["licenses"]["detections"]
