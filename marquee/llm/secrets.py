@@ -2,15 +2,19 @@
 
 Signatures (``assign``, ``access``, ``hex``) find keys by their surroundings
 or prefix. Every other run of 20 or more key characters is a candidate: its
-encoding is inferred (hexadecimal, base32, base64, base64url), its characters
-become symbol numbers of that alphabet, and three tests ask whether they look
-like independent uniform symbols:
+encoding is inferred (hexadecimal, also in groups with dashes, base32, base64,
+base64url, or else the smallest alphabet of digits, lower case, upper case and
+pairs of marks that holds all its characters), its characters become symbol
+numbers of that alphabet, and tests ask whether they look like independent
+uniform symbols:
 
 * chi-squared uniformity over the alphabet (Wilson-Hilferty normal score),
 * runs above and below the middle of the alphabet (Wald-Wolfowitz),
-* serial correlation of neighbouring symbols.
+* serial correlation of neighbouring symbols,
+* frequent letter pairs of written language among neighbours (one-sided; not
+  for alphabets without most letters).
 
-The three two-sided p-values combine by Bonferroni. Over the candidates of a
+The p-values combine by Bonferroni. Over the candidates of a
 document the Benjamini-Hochberg step-up, with p-values weighted by length
 (longer candidates give the tests more power), decides which ones are
 structured, at most ``fdr`` of those decisions being expected to dismiss a
@@ -40,10 +44,25 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_RANDOM = 6, 20, 24, 20
 #: name, what a candidate of it consists of, what it must contain, alphabet.
 ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", (r"[0-9]", r"[A-Fa-f]"), "0123456789abcdef"),
+    ("hex groups", r"^(?:[0-9a-f-]+|[0-9A-F-]+)$", (r"[0-9]", r"[A-Fa-f]", "-"), "0123456789abcdef-"),
     ("base32", r"^[A-Z2-7]+$", (r"[2-7]", r"[A-Z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base64", r"^[A-Za-z0-9+/]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("lower base32", r"^[a-z2-7]+$", (r"[2-7]", r"[a-z]"), "abcdefghijklmnopqrstuvwxyz234567"),
 )
+#: What any other candidate's alphabet is made of: what occurs in it, in this order.
+PARTS = (
+    (r"[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"[a-z]", "abcdefghijklmnopqrstuvwxyz"), (r"[0-9]", "0123456789"),
+    (r"[+/]", "+/"), (r"[_-]", "-_"),
+)
+#: Frequent pairs of letters in English, French, German and Spanish: a parameter.
+PAIRS = (
+    "ab ac ad ai al am an ar as at au be bl bu by ca ce ch ci ck cl co ct da de di do ea ec ed ee ef ei el em en ep er es et "
+    "eu ex fi fo fr ge ha he hi ho hr ht ic ie if ig il im in io is it iv ke la le li ll lo ly ma me mo mp na nc nd ne ng ni "
+    "no ns nt oc od of om on op or os ot ou ow pa pe pl po pr pt qu ra re ri rn ro rr rs rt sc se si so ss st su ta te th ti "
+    "to tr ts tu ty ue ul um un up ur us ut va ve we wh wi"
+).split()
+MIN_PAIRS = 10
 SPAN = "struct<start:bigint,kind_order:int,kind:string,end:bigint>"
 _NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
@@ -60,8 +79,9 @@ def two_sided(z: Column) -> Column:
 
 
 def infer_encoding(token: Column) -> Column:
-    """Alphabet of the first encoding that fits; null where none does."""
-    alphabet = F.lit(None).cast("string")
+    """Alphabet of the first encoding that fits, or else of the parts that
+    occur in the token."""
+    alphabet = F.concat(*[F.when(token.rlike(occurs), letters).otherwise("") for occurs, letters in PARTS])
     for _, consists, contains, letters in reversed(ENCODINGS):
         fits = token.rlike(consists)
         for need in contains:
@@ -72,12 +92,31 @@ def infer_encoding(token: Column) -> Column:
 
 def _symbols(token: Column, alphabet: Column) -> Column:
     # a hexadecimal token may be in upper case; its alphabet is in lower case
-    folded = F.when(F.length(alphabet) == 16, F.lower(token)).otherwise(token)
+    folded = F.when(alphabet.startswith("0123456789abcdef"), F.lower(token)).otherwise(token)
     return F.transform(F.filter(F.split(folded, "", -1), lambda c: c != ""), lambda c: F.instr(alphabet, c) - 1)
 
 
-def battery(symbols: Column, k: Column) -> Column:
-    """p-value of "independent uniform symbols" from the three tests.
+def like_language(token: Column, k: Column) -> Column:
+    """p-value of "uniform letters" by the number of neighbouring letters that
+    are a frequent pair of written language; null for alphabets without most
+    letters and for fewer than ``MIN_PAIRS`` pairs."""
+    share = len(PAIRS) / 26**2
+    # neighbouring pairs have a letter in common, so their counts correlate
+    both = sum(1 for p in PAIRS for q in PAIRS if p[1] == q[0]) / 26**3
+    unit = share * (1 - share) + 2 * (both - share**2)
+    folded = F.lower(token)
+    pairs = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: folded.substr(i, F.lit(2)))
+    pairs = F.filter(pairs, lambda p: p.rlike("^[a-z]{2}$"))
+    n = F.size(pairs).cast("double")
+    found = F.size(F.filter(pairs, lambda p: F.contains(F.lit(" ".join(PAIRS)), p)))
+    z = (found - 0.5 - n * share) / F.sqrt(n * unit)
+    one_sided = F.when(z > 0, two_sided(z) / 2).otherwise(1.0)
+    return F.when((k > 17) & (n >= MIN_PAIRS), one_sided)
+
+
+def battery(symbols: Column, k: Column, language: Column) -> Column:
+    """p-value of "independent uniform symbols" from the three tests and that
+    of ``language`` (null: not applied).
 
     ``symbols``: array of numbers below ``k``. A test that cannot be computed
     (all symbols on one side or equal) gives p-value 0: not random.
@@ -104,7 +143,8 @@ def battery(symbols: Column, k: Column) -> Column:
     squares = total(F.transform(symbols, lambda x: (x - average) * (x - average)))
     cross = total(F.transform(pairs, lambda p: (p["a"] - average) * (p["b"] - average)))
     p_serial = F.when(squares > 0, two_sided((cross / squares + 1.0 / n) * F.sqrt(n))).otherwise(0.0)
-    return F.least(F.lit(1.0), 3.0 * F.least(p_uniform, p_runs, p_serial))
+    n_tests = F.when(language.isNull(), 3.0).otherwise(4.0)
+    return F.least(F.lit(1.0), n_tests * F.least(p_uniform, p_runs, p_serial, language))
 
 
 def not_dismissed(tested: Column, fdr: float) -> Column:
@@ -155,9 +195,9 @@ def scan_secrets(df: DataFrame, text: str = "text", fdr: float = 0.01, into: str
     step = step.withColumn(base, F.array_sort(signed))
     inside = lambda s: F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
     encoded = F.transform(spans(t, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), infer_encoding(s["match"]).alias("alphabet")))
-    candidates = F.filter(encoded, lambda s: s["alphabet"].isNotNull() & ~inside(s))
-    symbols = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(s["alphabet"]).alias("k"), _symbols(s["match"], s["alphabet"]).alias("x")))
-    scored = F.transform(symbols, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["x"], s["k"]).alias("p")))
+    candidates = F.filter(encoded, lambda s: ~inside(s))
+    symbols = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(s["alphabet"]).alias("k"), s["match"].alias("match"), _symbols(s["match"], s["alphabet"]).alias("x")))
+    scored = F.transform(symbols, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["x"], s["k"], like_language(s["match"], s["k"])).alias("p")))
     step = step.withColumn(tested, F.when(F.col(runs), scored))
     random = F.when(F.size(F.col(tested)) > 0, _tagged(not_dismissed(F.col(tested), fdr), "random")).otherwise(nothing)
     return step.withColumn(into, F.array_sort(F.concat(F.col(base), random))).drop(body, base, runs, tested)

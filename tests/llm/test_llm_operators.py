@@ -106,6 +106,25 @@ def test_random_strings_are_found_and_structured_ones_dismissed(spark):
     assert sum(found[i] for i in range(300)) >= 290 and not any(found[i] for i in range(300, 300 + len(plain)))
 
 
+def test_every_alphabet_is_tested_and_words_are_dismissed(spark):
+    import string
+    import uuid
+
+    rnd = random.Random(2)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = [lower + digits, upper + digits, lower + "234567", lower + upper, lower, lower + upper + digits + "+/-_", lower + "-_"]
+    keys = ["".join(rnd.choices(a, k=32)) for a in alphabets for _ in range(30)]
+    keys += [str(uuid.UUID(int=rnd.getrandbits(128), version=4)) for _ in range(30)]
+    plain = ["donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "counterrevolutionaries", "electroencefalografista", "state-of-the-art-technology",
+             "/usr/local/share/applications", "SPDX-License-Identifier", "AbstractConnectionHandlerFactory", "convert_to_internal_representation",
+             "-" * 40, "_" * 20, "+-" * 15, "0" * 20, "https//example/some/path/index", "thanbleshaningtionnt"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + plain)], "id int, text string")
+    found = {r["id"]: r["secrets"] for r in secrets.scan_secrets(df).collect()}
+    by_alphabet = [sum(len(found[i]) for i in range(a, a + 30)) for a in range(0, len(keys), 30)]
+    assert min(by_alphabet) >= 28, by_alphabet
+    assert [t for i, t in enumerate(plain, len(keys)) if found[i]] == []
+
+
 def test_step_up_dismisses_by_length(spark):
     tested = "array(named_struct('start',0L,'end',20L,'p',0.006D), named_struct('start',30L,'end',70L,'p',0.004D), named_struct('start',80L,'end',100L,'p',0.9D))"
     kept = spark.range(1).select(secrets.not_dismissed(F.expr(tested), 0.01).alias("k")).first()["k"]
