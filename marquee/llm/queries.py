@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marquee.llm import bpe, chat, html, licenses, mixing, oracles, quality, secrets, simhash, token_counts, topk
+from marquee.llm import bpe, chat, html, licenses, mixing, oracles, periodic, quality, secrets, simhash, token_counts, topk
 from marquee.llm.common import pick, read
 
 #: Tokenizer file of the token queries; on a cluster every machine has it there.
@@ -172,3 +172,41 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = html.extract_pages(read(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The documents, every tenth of them (by a hash of its id) made periodic
+    from one of its words on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    laid = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("words"))
+    # no words (null, 0 or -1 of them): every number below is null and the text stays
+    laid = laid.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    laid = laid.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    laid = laid.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    head = F.slice("words", F.lit(1), F.col("a"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    period = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)
+    whole = F.slice(F.concat(head, F.flatten(period)), F.lit(1), F.col("n"))
+    return laid.select("doc_id", F.coalesce(F.array_join(whole, " "), F.col("text")).alias("text"))
+
+
+@register
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of 12 words or more in every document."""
+    docs = with_planted_period(pick(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = periodic.find_runs(docs, min_length=12)
+    runs = F.col("periodic.runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("best.length * 1000 div -best.col3").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
