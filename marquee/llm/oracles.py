@@ -227,3 +227,36 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(near, true) AS kept
 FROM base LEFT JOIN verdicts USING (k)"""
+
+
+@oracle("op12_collocations")
+def op12() -> str:
+    return r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+spoken AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM spoken GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spoken WHERE len(w) > 0),
+sizes(size) AS (VALUES (1), (2), (3), (4), (5)),
+counted AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, size, count(*) AS f
+  FROM places JOIN sizes ON i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM counted WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n,
+         CAST((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM worst s WHERE NOT EXISTS (
+    SELECT 1 FROM counted b
+    WHERE b.lang = s.lang AND b.size > len(string_split(s.phrase, ' ')) AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+      AND 100 * b.f >= 100 * s.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""

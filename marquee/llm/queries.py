@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marquee.llm import bpe, chat, html, licenses, mixing, oracles, periodic, quality, secrets, simhash, token_counts, topk
+from marquee.llm import bpe, chat, collocations, html, licenses, mixing, oracles, periodic, quality, secrets, simhash, token_counts, topk
 from marquee.llm.common import pick, read
 
 #: Tokenizer file of the token queries; on a cluster every machine has it there.
@@ -210,3 +210,10 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@register
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 2,000 phrases of every language by their worst cut."""
+    docs = pick(read(spark, sf_dir, "documents"), "lang", "text")
+    return collocations.collocations(docs, max_words=5, min_count=100, top=2000)
