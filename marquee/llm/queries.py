@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marquee.llm import bpe, chat, collocations, html, licenses, mixing, oracles, periodic, quality, secrets, simhash, token_counts, topk
+from marquee.llm import bpe, chat, collocations, hnsw, html, licenses, mixing, oracles, periodic, quality, secrets, simhash, token_counts, topk
 from marquee.llm.common import pick, read
 
 #: Tokenizer file of the token queries; on a cluster every machine has it there.
@@ -212,6 +212,16 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors for every twentieth vector, over all vectors."""
+    rows = pick(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = rows.select("vec_id", hnsw.finite_vector(F.col("embedding")).alias("v"))
+    # repeated ids: the smallest vector asks, so that a query is one row
+    queries = vectors.where((F.col("vec_id") % 20 == 0) & F.col("v").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return hnsw.nearest_neighbours(vectors, queries, 20)
+
+
 @register
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First 2,000 phrases of every language by their worst cut."""
