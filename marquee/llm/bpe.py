@@ -22,20 +22,24 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+from marquee.llm.common import carried, cells, unused
 
 #: The split of byte-level tokenizers (fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that every library puts into the same classes of that split.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
-#: Most fragments that a task remembers; then it starts anew.
-CACHE_FRAGMENTS = 150_000
+#: Bytes of fragments, ids and table entries that a task remembers; then it
+#: starts anew.
+CACHE_BYTES, ENTRY_BYTES = 16_000_000, 180
 #: Bytes of text that are encoded before results are handed on.
 CHUNK_BYTES = 2_000_000
 
@@ -59,16 +63,17 @@ class Decoder:
         plain = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in special.values()}
         self.bytes_of = plain | {i: s for s, i in special.items()}
 
+    def raw(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
 
 
 class ForcedBoundaryEncoder:
     """Encoder for one tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
@@ -78,9 +83,7 @@ class ForcedBoundaryEncoder:
         special = spec["added_tokens"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in special):
             raise ValueError(f"{path}: stripping special tokens are not supported")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.special = {t["content"].encode(): t["id"] for t in special}
         self.apart = re.compile(b"(" + b"|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + b")") if special else None
         alphabet = byte_alphabet()
@@ -89,6 +92,17 @@ class ForcedBoundaryEncoder:
         self.cuts = self._cut_table(tokens.values())
         self.ranks = self._by_rank(spec, tokens)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer; large, and needed by few fragments."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     @staticmethod
     def _cut_table(tokens) -> np.ndarray:
@@ -130,21 +144,22 @@ class ForcedBoundaryEncoder:
             ids = self.ranks.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self.known) >= CACHE_FRAGMENTS:
-            self.known.clear()
         packed = array("i", ids).tobytes()
         if len(fragment) <= 64:
+            self.held += len(fragment) + len(packed) + ENTRY_BYTES
+            if self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
             self.known[fragment] = packed
         return packed
 
     def _packed(self, raw: bytes) -> list[bytes]:
-        known, learn = self.known.get, self._learn
+        learn = self._learn
         out = []
         for piece in self.apart.split(raw) if self.apart else [raw]:
             if piece in self.special:
                 out.append(array("i", [self.special[piece]]).tobytes())
             else:
-                out += [known(f) or learn(f) for f in self.fragments(piece)]
+                out += [self.known.get(f) or learn(f) for f in self.fragments(piece)]
         return out
 
     def encode(self, raw: bytes) -> np.ndarray:
@@ -179,10 +194,17 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+
+
 def _with_column(df: DataFrame, text: str, into: str, kind: str, make) -> DataFrame:
     """Add a column that ``make`` computes from Arrow chunks of ``text``."""
     place = df.columns.index(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{into}` {kind}"])
+    into = unused(df, into)
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{into}` {kind}").fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,14 +224,37 @@ def encode_documents(df: DataFrame, path: str, text: str = "text", into: str = "
     for the empty text). Any other columns are carried along."""
 
     def make(column: pa.Array) -> pa.Array:
-        ids = [encoder(path).encode(raw) for raw in raw_texts(column)]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+        return _id_lists([encoder(path).encode(raw) for raw in raw_texts(column)])
 
     return _with_column(df, text, into, "array<int>", make)
 
 
+def encode_checked(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The columns of ``df`` but ``text``, as they are, then struct
+    ``encoded``: ``ids`` of every whole text (null: empty) and ``same``,
+    whether these ids decode to the text. One worker encodes and decodes, and
+    only one text at a time exists twice.
+    """
+    plain = carried(df, text).select("row", F.col(text).alias("text"))
+    kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("same", BooleanType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, back = encoder(path), decoder(path)
+        for batch in batches:
+            for part in chunks(batch, 1):
+                ids, same = [], []
+                for raw in raw_texts(part.column(1)):
+                    ids.append(own.encode(raw))
+                    same.append(back.raw(ids[-1].tolist()) == raw)
+                found = pa.StructArray.from_arrays([_id_lists(ids), pa.array(same, pa.bool_())], names=["ids", "same"])
+                yield pa.RecordBatch.from_arrays([part.column(0), found], ["row", "encoded"])
+
+    out = plain.mapInArrow(work, StructType([plain.schema["row"], StructField("encoded", kind)]))
+    place = df.columns.index(text)
+    shown = [value.alias(c) for i, (value, c) in enumerate(zip(cells(df.columns, ()), df.columns)) if i != place]
+    return out.select(*shown, F.col("encoded").alias(unused(df, "encoded")))
+
+
 def decode_documents(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add string ``into``: the text that the ids stand for (null: empty)."""
 
@@ -228,4 +273,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     return _with_column(df, text, into, "bigint", make)
 
 
-__all__ = ["Decoder", "ForcedBoundaryEncoder", "encode_documents", "decode_documents", "count_tokens", "decoder", "encoder"]
+__all__ = ["Decoder", "ForcedBoundaryEncoder", "encode_documents", "encode_checked", "decode_documents", "count_tokens", "decoder", "encoder"]

@@ -31,6 +31,26 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns (the first of each name) and all others packed into
+    one more called ``row``: whatever those are called, no operator meets
+    their names. ``unpacked`` undoes it."""
+    places = [f"c{i}" for i in range(len(df.columns))]
+    mine = [places[df.columns.index(n)] for n in names]
+    rest = [F.col(p) for p in places if p not in mine] or [F.lit(0).alias("c")]
+    return df.toDF(*places).select(*[F.col(p).alias(n) for p, n in zip(mine, names)], F.struct(*rest).alias("row"))
+
+
+def cells(columns: list[str], names: tuple[str, ...]) -> list[Column]:
+    """The original columns of a frame that ``carried`` made with ``names``."""
+    return [F.col(c) if c in names and columns.index(c) == i else F.col(f"row.c{i}") for i, c in enumerate(columns)]
+
+
+def unpacked(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """Exactly the original ``columns`` of a frame made by ``carried``."""
+    return df.select(*[value.alias(c) for value, c in zip(cells(columns, names), columns)])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

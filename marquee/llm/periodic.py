@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from marquee.llm.common import pick, unused
+from marquee.llm.common import carried, cells, unused
 from marquee.llm.tokens import byte_set, numbered, raw, slices, words
 
 #: White space between words: space and the ASCII controls 09-0D (fixed values).
@@ -265,12 +265,7 @@ def find_runs(docs: DataFrame, text: str = "text", min_length: int = 12) -> Data
     """
     if min_length < 2:
         raise ValueError("a run has two words at least")
-    into = unused(docs, "periodic")
-    # texts go through Python beside a packed copy of the row, whatever its columns are called
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    place = docs.columns.index(text)
-    rest = [n for i, n in enumerate(names) if i != place]
-    plain = docs.toDF(*names).select(F.struct(*rest).alias("row") if rest else F.lit(0).alias("row"), F.col(names[place]).alias("text"))
+    plain = carried(docs, text).select("row", F.col(text).alias("text"))
     schema = StructType([plain.schema["row"], StructField("found", FOUND)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +276,9 @@ def find_runs(docs: DataFrame, text: str = "text", min_length: int = 12) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), found], ["row", "found"])
 
     out = plain.mapInArrow(work, schema)
-    shown = [F.col(f"row.{n}").alias(docs.columns[i]) for i, n in enumerate(names) if i != place]
-    return out.select(*shown, F.col("found").alias(into))
+    others = [c for i, c in enumerate(docs.columns) if i != docs.columns.index(text)]
+    shown = [value for i, value in enumerate(cells(docs.columns, ())) if i != docs.columns.index(text)]
+    return out.select(*[v.alias(c) for v, c in zip(shown, others)], F.col("found").alias(unused(docs, "periodic")))
 
 
 __all__ = ["find_runs", "runs_of"]

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from marquee.llm.bpe import chunks, raw_texts
 from marquee.llm.common import pick, unused
@@ -222,8 +223,8 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str = "lang", commo
     references = language_references(slim, common, language_references(slim, common))
     place, language_place = df.columns.index(text), df.columns.index(lang)
     name = unused(df, into) if into in df.columns else into
-    fields = ", ".join(f"{n}:{t}" for n, t, _ in _FIELDS)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` struct<{fields}>"])
+    kinds = ", ".join(f"{n} {t}" for n, t, _ in _FIELDS)
+    schema = StructType([*df.schema.fields, StructField(name, StructType.fromDDL(kinds))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = forms_of(common)

@@ -95,3 +95,22 @@ def test_redaction_updates_lengths(spark, edge_dir):  # noqa: F811
     rows = {r["doc_id"]: r for r in cp.secret_scan(spark, docs, edge_dir).collect()}
     assert rows[9]["text"].count("[SECRET]") == 3 and rows[9]["n_chars"] == len(rows[9]["text"]) and rows[3]["text"] is None
     assert rows[1]["n_chars"] == 10
+
+
+def test_columns_of_any_name_and_kind(spark, edge_dir):  # noqa: F811
+    """Dots, maps, and names that operators use themselves come through."""
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select(*COLUMNS)
+    extra = docs.withColumns({
+        "a.b": F.lit("dot"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "row": F.lit(1), "found": F.lit(2), "a": F.lit(3), "b": F.struct(F.lit(4).alias("x.y")),
+        "c0": F.lit(5), "verdict": F.lit(6), "planned": F.lit(7), "copy": F.lit(8), "size": F.lit(9),
+    })
+    plain = docs
+    for name, stage in cp.STAGES[1:-1]:
+        extra, plain = cp.materialize(stage(spark, extra, edge_dir), "t"), cp.materialize(stage(spark, plain, edge_dir), "t")
+        assert extra.columns[:5] == COLUMNS and len(extra.columns) == 16, name
+        assert _rows(extra) == _rows(plain)
+        assert all(r["a.b"] == "dot" and r["m"] == {"k": r["doc_id"]} and r["b"]["x.y"] == 4 for r in extra.collect())
+    first = cp.STAGES[0][1](spark, extra, edge_dir)
+    assert first.columns == extra.columns and first.count() == cp.STAGES[0][1](spark, plain, edge_dir).count()
+    out = cp.STAGES[-1][1](spark, extra, edge_dir)
+    assert out.where("not round_trip").count() == 0 and out.count() == plain.count()
