@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import bpe, mixing, quality, secrets, simhash
-from marquee.llm.common import unused
+from marquee.llm.common import carried, cells, pick, unpacked
 from marquee.session import materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,8 +27,8 @@ SHINGLE, MAX_BITS = 4, 4
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdict = unused(docs, "quality")
-    return quality.judge_documents(docs, into=verdict).where(F.col(f"{verdict}.kept")).drop(verdict)
+    judged = quality.judge_documents(carried(docs, "lang", "text"), into="verdict")
+    return unpacked(judged.where("verdict.kept"), docs.columns, "lang", "text")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,47 +39,40 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     one. Only ids and hashes are grouped; the texts move once, for the join
     with what stays.
     """
-    a, b = unused(docs, "row_hash_a"), unused(docs, "row_hash_b")
+    whole = carried(docs, "doc_id", "text")
+    # maps cannot be hashed; their JSON can
+    values = [F.to_json(F.struct(c)) if "map<" in t else c for c, (_, t) in zip(cells(docs.columns, ("doc_id", "text")), docs.dtypes)]
     # 128 bits name a row, so that null ids and repeated ids need no care
-    hashes = {a: F.xxhash64(*docs.columns), b: F.xxhash64(F.lit(1), *docs.columns)}
-    named = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *[h.alias(n) for n, h in hashes.items()]).alias("doc_id"), "text")
+    whole = whole.withColumns({"a": F.xxhash64(*values), "b": F.xxhash64(F.lit(1), *values)})
+    rows = whole.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b").alias("doc_id"), "text")
     # the smallest row of a component is its name
-    found = simhash.near_duplicates(named, shingle=SHINGLE, radius=MAX_BITS)
-    stays = found.select(F.col(f"component_id.{a}").alias(a), F.col(f"component_id.{b}").alias(b)).distinct()
-    return docs.withColumns(hashes).join(stays, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)
+    found = simhash.near_duplicates(rows, shingle=SHINGLE, radius=MAX_BITS)
+    stays = found.select("component_id.a", "component_id.b").distinct()
+    return unpacked(whole.join(stays, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]), docs.columns, "doc_id", "text")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark; ``n_chars`` follows."""
-    found = unused(docs, "secrets")
-    scanned = secrets.scan_secrets(docs, into=found)
-    hit = F.size(F.col(found)) > 0
-    clear = secrets.redact(F.col("text"), F.col(found))
-    out = scanned.withColumn("text", F.when(hit, clear).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    scanned = secrets.scan_secrets(carried(docs, "text", "n_chars"), into="found")
+    hit = F.size("found") > 0
+    scanned = scanned.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text")))
+    length = F.length("text").cast(scanned.schema["n_chars"].dataType)
+    scanned = scanned.withColumn("n_chars", F.when(hit, length).otherwise(F.col("n_chars")))
+    return unpacked(scanned, docs.columns, "text", "n_chars")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated (or left out) as the mix of sources wants."""
-    planned = unused(docs, "mix")
-    mixed = mixing.mix(docs, into=planned)
-    copy = unused(mixed, "copy")
-    taken = mixed.where(F.col(f"{planned}.repeats") > 0)
-    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(f"{planned}.repeats")))).select(*docs.columns)
+    mixed = mixing.mix(carried(docs, "doc_id", "source", "text"), into="planned")
+    taken = mixed.where("planned.repeats > 0")
+    return unpacked(taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("planned.repeats")))), docs.columns, "doc_id", "source", "text")
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with whether they decode to its text."""
-    ids, back, seal = (unused(docs, n) for n in ("ids", "decoded", "text_hash"))
-    # the text itself goes no further than the encoder; its hash does
-    hashed = docs.withColumn(seal, F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = bpe.encode_documents(hashed.select("doc_id", "lang", "source", seal, "text"), TOKENIZER, into=ids).drop("text")
-    decoded = bpe.decode_documents(encoded, TOKENIZER, ids=ids, into=back)
-    return decoded.select(
-        "doc_id", "lang", "source", F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n_tokens"),
-        (F.sha2(back, 256) == F.col(seal)).alias("round_trip"),
-    )
+    encoded = bpe.encode_checked(pick(docs, "doc_id", "lang", "source", "text"), TOKENIZER)
+    ids = F.col("encoded.ids")
+    return encoded.select("doc_id", "lang", "source", ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"), F.col("encoded.same").alias("round_trip"))
 
 
 STAGES = [
