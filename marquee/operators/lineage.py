@@ -41,6 +41,63 @@ def upsert_latest(
     return agg.select(*key, "_latest.*", "first_seen", "last_seen", "versions", F.lit(True).alias("active"))
 
 
+#: Columns that a merge of full snapshots keeps beside key and values.
+STATE_COLUMNS = ["active", "first_seen", "last_seen", "changed_in", "inactive_since", "merged_load"]
+
+
+def merge_snapshot(state: DataFrame | None, snapshot: DataFrame, key: list[str], load: int) -> DataFrame:
+    """The serving rows after a *full* snapshot of load number ``load``.
+
+    Keys of the snapshot are active with its values; keys that it lacks keep
+    their last values and become inactive (they were deleted upstream), and
+    come back active if a later snapshot has them again. Beside key and values
+    the result has ``active``, ``first_seen``, ``last_seen`` (loads),
+    ``changed_in`` (the load that last changed a value or the activity),
+    ``inactive_since`` (null while active) and ``merged_load``.
+
+    Loads are ordered by their numbers, not by arrival: a snapshot that is not
+    newer than every load merged so far changes nothing, so a late or repeated
+    load is harmless. Of several rows with one key the smallest row by its
+    values counts. An empty snapshot of a newer load makes all rows inactive.
+    """
+    values = [c for c in snapshot.columns if c not in key]
+    load_col = F.lit(int(load)).cast("bigint")
+    row = F.struct(*[F.col(c) for c in values]) if values else F.struct(F.lit(1).alias("_"))
+    new = snapshot.groupBy(*key).agg(F.min(row).alias("new"))
+    if state is None:
+        old = None
+        newest = F.lit(None).cast("bigint")
+    else:
+        extra = F.struct(*STATE_COLUMNS).alias("was")
+        old = state.select(*key, (F.struct(*values) if values else F.struct(F.lit(1).alias("_"))).alias("old"), extra)
+        newest = state.agg(F.max("merged_load").alias("m")).scalar()
+    fresh = F.coalesce(load_col > newest, F.lit(True))  # no state yet: any load is fresh
+    new = new.where(fresh)
+    if old is None:
+        return new.select(
+            *key, *[F.col(f"new.{c}").alias(c) for c in values], F.lit(True).alias("active"), load_col.alias("first_seen"), load_col.alias("last_seen"),
+            load_col.alias("changed_in"), F.lit(None).cast("bigint").alias("inactive_since"), load_col.alias("merged_load"),
+        )
+    # union and one aggregate: null keys meet, and no key's rows land unaggregated in one task
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = old.select(*key, "old", "was", none(new, "new")).unionByName(new.select(*key, none(old, "old"), none(old, "was"), "new"))
+    met = both.groupBy(*key).agg(F.max("old").alias("old"), F.max("was").alias("was"), F.max("new").alias("new"))
+    here, known = F.col("new").isNotNull(), F.col("was").isNotNull()
+    gone = ~here & F.coalesce(fresh, F.lit(True))
+    same = known & F.col("new").eqNullSafe(F.col("old")) & F.col("was.active")
+    shown = lambda c: F.when(here, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
+    return met.select(
+        *key,
+        *[shown(c) for c in values],
+        F.when(here, True).when(gone, False).otherwise(F.col("was.active")).alias("active"),
+        F.coalesce(F.col("was.first_seen"), load_col).alias("first_seen"),
+        F.when(here, load_col).otherwise(F.col("was.last_seen")).alias("last_seen"),
+        F.when(here & same, F.col("was.changed_in")).when(here, load_col).when(gone & F.col("was.active"), load_col).otherwise(F.col("was.changed_in")).alias("changed_in"),
+        F.when(here, F.lit(None)).when(gone, F.coalesce(F.col("was.inactive_since"), load_col)).otherwise(F.col("was.inactive_since")).cast("bigint").alias("inactive_since"),
+        F.when(fresh, load_col).otherwise(F.col("was.merged_load")).alias("merged_load"),
+    )
+
+
 def deterministic_id(*cols: str | Column) -> Column:
     """Stable 64-bit id from natural-key columns (nulls hash as a marker)."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(NULL_TEXT)) for c in cols]
