@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType
 
 from marquee.functions.listcodec import encode_list
 from marquee.operators.curate import CURATED_COLUMNS
+from marquee.sources.split_csv import read_csv
 
 
 def to_csv_frame(curated: DataFrame) -> DataFrame:
@@ -37,15 +38,10 @@ def write_curated_csv(curated: DataFrame, path: str) -> str:
 
 
 def read_curated_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Curated CSV as text rows (lists stay list-literal text)."""
-    return (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    """Curated CSV as text rows (lists stay list-literal text). Cells may hold
+    line breaks; a large file is still read by many tasks."""
+    names = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=False).csv(path).columns
+    return read_csv(spark, path, names)
 
 
 def write_curated_parquet(curated: DataFrame, path: str) -> str:

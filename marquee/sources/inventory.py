@@ -2,7 +2,7 @@
 
 All are DataFrame jobs over Spark's ``binaryFile`` listing: the listing
 reads only file metadata unless ``content`` is selected (column pruning);
-the fingerprint hashes the content on the executors, one file per row.
+the fingerprint streams the content through the executors (see digest).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources.digest import file_digests
 from marquee.sources.raw import SOURCE_FILES
 
 # Fixed values of the source set.
@@ -98,14 +99,9 @@ def check_size_cap(inventory: DataFrame, max_file_bytes: int = DEFAULT_MAX_FILE_
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """``(source_path, source_size, source_mtime, source_sha256)`` per file
-    under ``path`` (a file or a folder of part files)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.col("path").alias("source_path"),
-        F.col("length").alias("source_size"),
-        F.col("modificationTime").alias("source_mtime"),
-        F.sha2(F.col("content"), 256).alias("source_sha256"),
-    )
+    under ``path`` (a file or a folder of part files), streamed in constant
+    memory whatever its size."""
+    return file_digests(spark, path)
 
 
 def staleness(current: DataFrame, stored: DataFrame) -> DataFrame:
