@@ -1,21 +1,26 @@
 """Exact inner-product search by the threshold algorithm of Fagin.
 
 Vectors are packed into blocks; each block carries its members sorted along
-every dimension. For a query the lists are read in rounds from their best end
-(the top for a positive component, the bottom for a negative one), newly met
-members are scored in full, and reading stops when the sum of the values at
-the list positions reached, the best score that an unseen member could have,
-is below the k-th best score so far. If a round would read more entries than
-members are left unseen, these are scored directly instead.
+every dimension. For a query the lists are read from their best end (the top
+for a positive component, the bottom for a negative one). The value at a
+list's place times the query's component bounds what any unseen member can
+gain in that dimension, so the sum over the dimensions bounds its score. In
+each round the lists are read whose next entries lower that bound most; newly
+met members are scored in full; reading stops when the bound cannot beat the
+k-th best result (with equal scores the smaller id wins, so it must be below).
 
 Every block of queries meets every block of members once (a stated query set
 against all rows): blocks are dealt to shards by a hash, queries go to all
-shards. Only the best k of a query leave a block, and are ranked per query.
+shards. A shard's blocks come one after the other for one block of queries, and
+what the earlier ones yielded is the threshold of the next: a block whose
+members all score less is left as soon as its lists show it. Only the best k of
+a query leave a shard, and are ranked per query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import pick
 
 MEMBERS, QUERIES = 8_192, 512  # rows of a block
-FIRST_DEPTH = 8
+STEP, GROWTH = 32, 4  # entries of a list read at once: so many, or this part of those read
+LISTS = 4  # the part of the lists that is read in a round
 
 
 def quantized(embedding: Column, scale: int) -> Column:
@@ -70,49 +76,79 @@ def packed(vectors: DataFrame, rows: int, lists: bool) -> DataFrame:
     return vectors.mapInArrow(work, "dim bigint, ids binary, matrix binary, lists binary")
 
 
-def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one block for one query, ties to the smaller
-    id; members with the query's own id take no part.
+@dataclass
+class Best:
+    """The k best (score, id) of a query so far, and what finding them took."""
+
+    k: int
+    scores: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    read: int = 0  # list entries
+    scored: int = 0  # members
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.ids) >= self.k:
+            near = scores >= self.scores[-1]
+            scores, ids = scores[near], ids[near]
+        scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores, self.ids = scores[order], ids[order]
+
+    def out_of_reach(self, bound: int) -> bool:
+        return len(self.ids) >= self.k and bound < int(self.scores[-1])
+
+
+def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray, best: Best) -> None:
+    """Put what one block adds to the k best of a query into ``best``; members
+    with the query's own id take no part.
 
     ``matrix``: members by dimension; ``lists``: positions by ascending value,
     one row per dimension. Integer arithmetic throughout.
     """
     n = len(ids)
+    used = np.flatnonzero(query)
+    if not len(used):  # every score is 0: the smallest ids are best
+        few = np.sort(ids[ids != own])[: best.k]
+        best.add(np.zeros(len(few), np.int64), few)
+        best.scored += len(few)
+        return
+    weight = query[used]
+    down = weight < 0
     seen = ids == own
-    up = np.flatnonzero(query > 0)
-    down = np.flatnonzero(query < 0)
-    found_scores, found_ids = np.empty(0, np.int64), np.empty(0, np.int64)
-    depth, width = 0, FIRST_DEPTH
-    while not seen.all():
-        upto = min(n, depth + width)
-        reads = (upto - depth) * (len(up) + len(down))  # none for a query of zeros
-        if reads == 0 or reads >= n - np.count_nonzero(seen):
-            new, upto = np.flatnonzero(~seen), n
-        else:
-            met = np.concatenate([lists[up, n - upto : n - depth].reshape(-1), lists[down, depth:upto].reshape(-1)])
-            fresh = np.zeros(n, bool)
-            fresh[met] = True
-            new = np.flatnonzero(fresh & ~seen)
-        seen[new] = True
-        found_scores = np.concatenate([found_scores, matrix[new] @ query])
-        found_ids = np.concatenate([found_ids, ids[new]])
-        if len(found_ids) > k:
-            limit = np.partition(found_scores, -k)[-k]
-            near = np.flatnonzero(found_scores >= limit)
-            best = near[np.lexsort((found_ids[near], -found_scores[near]))[:k]]
-            found_scores, found_ids = found_scores[best], found_ids[best]
-        if upto == n:
-            break
-        if len(found_ids) >= k:
-            bound = int((query[up] * matrix[lists[up, n - upto], up]).sum() + (query[down] * matrix[lists[down, upto - 1], down]).sum())
-            if bound < found_scores.min():  # an equal score could still win by its id
-                break
-        depth, width = upto, width * 2
-    order = np.lexsort((found_ids, -found_scores))
-    return list(zip(found_scores[order].tolist(), found_ids[order].tolist()))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None = None) -> DataFrame:
+    depth = np.zeros(len(used), np.int64)  # entries read of each list
+
+    def gains(at: np.ndarray) -> np.ndarray:
+        """Most that the entry at place ``at`` of each list, or any after it, gains."""
+        at = np.minimum(at, n - 1)
+        return weight * matrix[lists[used, np.where(down, at, n - 1 - at)], used]
+
+    step = np.full(len(used), STEP)
+    now, ahead = gains(depth), gains(depth + step)
+    some = max(1, len(used) // LISTS)
+    while not best.out_of_reach(int(now.sum())):
+        fall = (now - ahead) / step  # of the bound, for each entry
+        chosen = np.argpartition(-fall, some - 1)[:some]
+        if not (now[chosen] > ahead[chosen]).any():  # the values beside are alike: the list read least
+            chosen = depth.argmin(keepdims=True)
+        fresh = np.zeros(n, bool)
+        for t in chosen.tolist():
+            a, b = int(depth[t]), min(int(depth[t] + step[t]), n)
+            entries = lists[used[t], a:b] if down[t] else lists[used[t], n - b : n - a]
+            fresh[entries] = True
+            best.read += b - a
+            depth[t] = b
+        met = np.flatnonzero(fresh & ~seen)
+        if len(met):
+            seen[met] = True
+            best.scored += len(met)
+            best.add(matrix[met] @ query, ids[met])
+        if depth[chosen].max() == n:  # a list is read to its end: all members are met
+            return
+        step = np.maximum(STEP, depth // GROWTH)
+        now[chosen], ahead[chosen] = gains(depth)[chosen], gains(depth + step)[chosen]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None = None, accesses: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k members of highest inner product
     for every query, ties to the smaller vec_id; fewer if there are fewer.
 
@@ -120,6 +156,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None = N
     vector take no part; a query meets members of its own dimension, except
     those with its own id. Repeated members count each; queries must have
     distinct ids. Inner products must fit 64 bits.
+
+    With ``accesses`` two more columns tell what the lists of all shards took
+    for the query: ``entries_read`` and ``members_scored``.
     """
     spark = vectors.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -129,18 +168,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None = N
     asked = packed(usable(queries).select(F.col("vec_id").cast("long"), "v"), QUERIES, False)
     asked = asked.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     met = members.join(asked, ["shard", "dim"])
+    met = met.withColumns({"asked": F.xxhash64("q_ids", "q_matrix"), "block": F.xxhash64("ids")}).sortWithinPartitions("shard", "dim", "asked", "block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        names = ["query_id", "vec_id", "score", "shard", "read", "scored"]
+        held: tuple | None = None
+        found: dict[int, Best] = {}
+
+        def results() -> pa.RecordBatch:
+            rows = [(q, i, s, held[0], b.read, b.scored) for q, b in found.items() for i, s in zip(b.ids.tolist(), b.scores.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], names=names)
+
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, ids, matrix, lists, q_ids, q_matrix = (batch.column(c)[row].as_py() for c in range(6))
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                matrix, q_matrix = (np.frombuffer(x, "<i8").reshape(-1, dim) for x in (matrix, q_matrix))
+                shard, dim, asked_, ids, matrix, lists, q_ids, q_matrix = (batch.column(c)[row].as_py() for c in range(8))
+                if held != (shard, dim, asked_, q_ids):
+                    if found:
+                        yield results()
+                    held, found = (shard, dim, asked_, q_ids), {int(q): Best(k) for q in np.frombuffer(q_ids, "<i8")}
+                ids = np.frombuffer(ids, "<i8")
+                matrix, asks = (np.frombuffer(x, "<i8").reshape(-1, dim) for x in (matrix, q_matrix))
                 lists = np.frombuffer(lists, "<i4").reshape(dim, -1)
-                best = [(int(q), i, s) for q, v in zip(q_ids, q_matrix) for s, i in threshold_search(v, int(q), ids, matrix, lists, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([b[c] for b in best], pa.int64()) for c in range(3)], schema=schema)
+                for (q, best), v in zip(found.items(), asks):
+                    threshold_search(v, q, ids, matrix, lists, best)
+        if found:
+            yield results()
 
-    best = met.select("dim", "ids", "matrix", "lists", "q_ids", "q_matrix").mapInArrow(work, "query_id bigint, vec_id bigint, score bigint")
+    columns = ["shard", "dim", "asked", "ids", "matrix", "lists", "q_ids", "q_matrix"]
+    best = met.select(*columns).mapInArrow(work, "query_id bigint, vec_id bigint, score bigint, shard bigint, read bigint, scored bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if not accesses:
+        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score")
+    # a shard's figures stand in each of its rows: count them once
+    per = Window.partitionBy("query_id")
+    first = F.row_number().over(Window.partitionBy("query_id", "shard").orderBy("vec_id")) == 1
+    once = best.withColumn("first", first)
+    once = once.withColumns({n: F.sum(F.when(F.col("first"), F.col(c)).otherwise(0)).over(per) for n, c in (("entries_read", "read"), ("members_scored", "scored"))})
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "entries_read", "members_scored")
