@@ -68,6 +68,43 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+#: Elements of an array that are folded together; see ``running``.
+SLICE = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an outer
+    expression is computed anew for every element, a lambda's variable is not."""
+    return F.transform(F.array(value), body)[0]
+
+
+def slices_of(array: Column) -> Column:
+    """The array in runs of ``SLICE`` elements (the empty array: one empty run)."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(array), F.lit(1)) - 1) / SLICE).cast("int")), lambda c: F.slice(array, c * SLICE + 1, F.lit(SLICE)))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima, by ``join``) of an array of bigint from 0 on.
+
+    An array that grows by one element is copied each time, so the sums run
+    inside slices first, then over the slices' totals, and are added up last:
+    the work per element is bounded.
+    """
+    none, zero = F.expr("cast(array() as array<bigint>)"), F.lit(0).cast("long")
+    empty = F.struct(zero.alias("at"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return let(join(acc["at"], x), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out")))
+
+    def add_up(inside: Column) -> Column:
+        totals = F.transform(inside, lambda part: F.coalesce(F.get(part, F.size(part) - 1), zero))
+        before = F.aggregate(totals, empty, lambda acc, t: F.struct(join(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(inside, before, lambda part, base: F.transform(part, lambda x: join(base, x))))
+
+    inside = lambda array: F.transform(slices_of(array), lambda part: F.aggregate(part, empty, step, lambda acc: acc["out"]))
+    return let(values, lambda array: let(inside(array), add_up))
+
+
 def spans(text: Column, pattern: Column | str, measure: Callable[[Column], Column] = F.length) -> Column:
     """All leftmost, non-overlapping matches of ``pattern`` with positions.
 
@@ -76,18 +113,16 @@ def spans(text: Column, pattern: Column | str, measure: Callable[[Column], Colum
     comes from ``split`` and the matches from ``regexp_extract_all``; both
     walk the text once with the same engine, so the k-th match starts after
     the first k pieces and the first k-1 matches. A pattern must not match
-    the empty string.
+    the empty string. The work is linear in text and matches.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string>>)")
-    steps = F.zip_with(between, found, lambda b, m: F.struct(measure(b).cast("long").alias("b"), measure(m).cast("long").alias("n"), m.alias("m")))
-
-    def advance(acc: Column, step: Column) -> Column:
-        start = acc["at"] + step["b"]
-        row = F.struct(start.alias("start"), (start + step["n"]).alias("end"), step["m"].alias("match"))
-        return F.struct((start + step["n"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    return F.aggregate(steps, start, advance, lambda acc: acc["out"])
+
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        measured = F.zip_with(between, found, lambda b, m: F.struct(measure(b).cast("long").alias("b"), measure(m).cast("long").alias("n"), m.alias("m")))
+        return let(measured, lambda steps: F.zip_with(steps, running(F.transform(steps, lambda s: s["b"] + s["n"]), lambda a, b: a + b), row))
+
+    def row(step: Column, end: Column) -> Column:
+        return F.struct((end - step["n"]).alias("start"), end.alias("end"), step["m"].alias("match"))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)

@@ -20,7 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import spans, text_or_empty
+from marquee.llm.common import let, slices_of, spans, text_or_empty, unused
 from marquee.llm.license_rules import ROOTS, RULES, Rule
 
 _WORD = r"a-zA-Z0-9\x{80}-\x{10FFFF}"
@@ -100,11 +100,15 @@ def _surviving(found: Column) -> Column:
             F.when(hidden, acc["kept"]).otherwise(F.concat(acc["kept"], this)).alias("kept"),
         )
 
-    start = F.struct(
-        F.expr("cast(array() as array<struct<end:bigint,rank:int>>)").alias("open"),
-        F.expr(f"cast(array() as {kept_type})").alias("kept"),
-    )
-    return F.aggregate(found, start, step, lambda acc: acc["kept"])
+    none = F.expr(f"cast(array() as {kept_type})")
+    start = F.struct(F.expr("cast(array() as array<struct<end:bigint,rank:int>>)").alias("open"), F.expr(f"cast(array() as array<{kept_type}>)").alias("kept"))
+
+    def walk(acc: Column, part: Column) -> Column:
+        """One slice of detections; only its own ones are copied as they grow."""
+        inside = F.aggregate(part, F.struct(acc["open"].alias("open"), none.alias("kept")), step)
+        return let(inside, lambda now: F.struct(now["open"].alias("open"), F.concat(acc["kept"], F.array(now["kept"])).alias("kept")))
+
+    return let(found, lambda ds: F.flatten(F.aggregate(slices_of(ds), start, walk, lambda acc: acc["kept"])))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "licenses") -> DataFrame:
@@ -115,6 +119,7 @@ def scan_licenses(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     Null text counts as empty: no words, empty arrays. Copies of a row give
     copies of the result; no other column is read.
     """
+    into = unused(df, into)
     prefix = into + "_"
     while any(c.lower().startswith(prefix.lower()) for c in df.columns):
         prefix += "_"
