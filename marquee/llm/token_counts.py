@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.session import materialize
+
 #: Lengths per range of the two-level sums.
 RANGE = 256
 LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 65536, 131072)
@@ -36,6 +38,7 @@ def answers(histogram: DataFrame, limits: tuple[int, ...] = LIMITS, quantiles: t
     answer for any other limit. No documents: total 0, share null.
     """
     spark = histogram.sparkSession
+    histogram = materialize(histogram, "length-histogram")  # it is read twice, its documents only once
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("length"), F.lit(0).cast("long").alias("n_docs"))
     rows = histogram.unionByName(wanted).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
     rows = rows.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("range", F.floor(F.col("length") / RANGE))
