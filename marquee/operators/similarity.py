@@ -25,8 +25,10 @@ features by document frequency ``df``:
    shuffle, so a hot class is cut map-side). A query enumerates the
    sub-vectors of its own hot vector and looks up those short lists.
 3. Items with more than ``max_hot`` hot features (none in a curated
-   catalogue, which keeps <= 5 cast, 1 director and a few genres) are paired
-   directly through their hot features.
+   catalogue, which keeps <= 5 cast, 1 director and a few genres) are looked
+   for, and look for others, in bounded posting lists (``postings``): k rows
+   per query and shard come out, never the pairs of a hot feature. Whether
+   there are any is asked by one small job while the plan is built.
 
 Exactness: take ``c`` in the true top-k of ``q`` with no rare feature shared
 with ``q`` and let ``A = H(q) ∩ H(c)`` (with c's weights). If ``c`` were not
@@ -34,15 +36,19 @@ among the first ``k+1`` items of list ``A``, the ``k+1`` items ahead of it
 share at least ``A`` with ``q`` and rank no lower than ``c`` (same or larger
 dot, better tie-break), so at least ``k`` items other than ``q`` beat ``c`` –
 a contradiction. Candidates that share a rare feature are all found by step
-1. Every surviving candidate is then re-scored exactly (rare dot + dot of the
+1. If ``q`` or ``c`` is heavy and ``c`` is not among the best ``k`` of its shard
+by hot features, those k rank before it in the result too. Every surviving candidate is then re-scored exactly (rare dot + dot of the
 two hot vectors) before the final ``row_number() <= k``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.postings import best_by_postings
 
 DEFAULT_HOT_MIN_DF = "auto"
 DEFAULT_PAIR_BUDGET = 64  # rare-feature pairs allowed per feature row ("auto")
@@ -182,23 +188,23 @@ def topk_shared(
         "q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols
     )
 
-    # 3. items with many hot features: direct pairs through hot features
-    hot_rows = tagged.where("hot").select("id", "feat")
-    heavy = it.where(F.size("hv") > max_hot).select("id")
-    hq_rows = hot_rows if queries is None else hot_rows.join(queries.select("id"), "id", "left_semi")
-    heavy_q = hq_rows.join(heavy, "id", "left_semi").alias("a").join(hot_rows.alias("b"), "feat")
-    heavy_c = hq_rows.alias("a").join(hot_rows.join(heavy, "id", "left_semi").alias("b"), "feat")
-    direct = (
-        heavy_q.select(F.col("a.id").alias("q"), F.col("b.id").alias("id"))
-        .unionByName(heavy_c.select(F.col("a.id").alias("q"), F.col("b.id").alias("id")))
-        .where(F.col("q") != F.col("id"))
-        .dropDuplicates()
-    )
-    direct_c = cand_side(direct.join(it, "id")).select("q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols)
+    # 3. items with many hot features: bounded posting lists, both ways
+    hot_items = it.where(F.size("hv") >= 1)
+    is_heavy = F.size("hv") > max_hot
+    as_query = lambda df: df.select(F.col("id").alias("q"), "n2", "hv")
+    as_cand = lambda df: df.select(F.col("id").alias("c"), "n2", "hv", *[a for a in ("score", "title") if mode == "overlap"])
+    sources = [rare_c, sub_c]
+    heavy = hot_items.where(is_heavy)
+    if heavy.limit(1).count():
+        count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        n_heavy, n_hot = count(heavy), count(hot_items)
+        q_hot = qit.where(F.size("hv") >= 1)
+        direct = best_by_postings(as_query(q_hot.where(is_heavy)), as_cand(hot_items), k, mode, n_heavy, n_hot)
+        direct = direct.unionByName(best_by_postings(as_query(q_hot.where(~is_heavy)), as_cand(heavy), k, mode, n_hot, n_heavy))
+        sources.append(cand_side(direct.withColumnRenamed("c", "id").join(it, "id")).select("q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols))
 
     cands = (
-        rare_c.unionByName(sub_c)
-        .unionByName(direct_c)
+        reduce(DataFrame.unionByName, sources)
         .groupBy("q", "c")
         .agg(
             F.sum("rare_dot").alias("rare_dot"),
