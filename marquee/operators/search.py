@@ -12,9 +12,11 @@ document frequency (rarest first). A set ``A`` of size ``a`` keeps its first
 ``a - ceil(t*a) + 1`` trigrams as its *prefix*; two sets with Jaccard
 ``>= t`` always share a trigram inside both prefixes. Candidates come from
 joining prefixes only, of sets whose sizes allow the threshold at all
-(``t*a <= b <= a/t``), and every candidate is then verified exactly. At low
+(``t*a <= b <= a/t``) and which can still share enough trigrams from the place
+of the common one on, and every candidate is then verified exactly. At low
 thresholds prefixes are long and do hold frequent trigrams; the order puts
-them last, and distinct sets bound what a frequent one can meet.
+them last, where the place rule drops most of their pairs, distinct sets bound
+what a frequent one can meet, and its sets are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -23,18 +25,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import trigrams
+from marquee.session import materialize
 
+HOT_TRIGRAM = 20_000  # sets of one trigram that one task meets
 DEFAULT_THRESHOLD = 0.3
 DEFAULT_LIMIT = 10
 
 
-def _prefixes(sets: DataFrame, key: list[str], df: DataFrame, threshold: float) -> DataFrame:
-    """``(*key, g)`` rows of each set's prefix under the global order."""
-    rows = sets.select(*key, F.size("grams").alias("n"), F.explode("grams").alias("g"))
+def _prefixes(sets: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
+    """``(id, n, g, place, df)`` rows of each set's prefix under the global
+    order; ``place`` counts from 1. ``sets``: (id, grams)."""
+    rows = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     rows = rows.join(df, "g", "left").withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
-    w = Window.partitionBy(*key).orderBy(F.col("df"), F.col("g"))
+    w = Window.partitionBy("id").orderBy(F.col("df"), F.col("g"))
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - F.lit(1e-9)) + 1
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= plen).select(*key, "g", "n")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= plen)
+
+
+def candidate_pairs(requests: DataFrame, titles: DataFrame, threshold: float, positional: bool = True) -> DataFrame:
+    """``(r, t)``: ids of the set pairs that may reach the threshold, once each.
+
+    Both: distinct sets (id, grams). Pairs meet in a trigram of both prefixes
+    if their sizes allow the threshold and, by place, enough trigrams are left:
+    sets of a and b trigrams need ``t / (1 + t) * (a + b)`` in common, and from
+    their first common one, at places i and j, there can be no more than
+    ``1 + min(a - i, b - j)``. (A pair that reaches the threshold passes at its
+    first common trigram.) Only ids travel; a trigram of many sets is dealt
+    over several tasks.
+    """
+    df = titles.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    salts = F.greatest(F.ceil(F.col("df") / F.lit(HOT_TRIGRAM)), F.lit(1)).cast("int")
+    rp = _prefixes(requests, df, threshold).select("g", F.col("id").alias("r"), F.col("n").alias("a"), F.col("place").alias("i"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    tp = _prefixes(titles, df, threshold).select("g", F.col("id").alias("t"), F.col("n").alias("b"), F.col("place").alias("j"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
+    least = F.lit(float(threshold) - 1e-9)
+    able = (F.col("b") >= least * F.col("a")) & (F.col("a") >= least * F.col("b"))
+    if positional:
+        needed = (F.col("a") + F.col("b")) * F.lit(threshold / (1 + threshold)) - 1e-9
+        able = able & (1 + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= needed)
+    return rp.join(tp, ["g", "salt"]).where(able).select("r", "t").distinct()
 
 
 def jaccard(a: F.Column, b: F.Column) -> F.Column:
@@ -43,6 +71,11 @@ def jaccard(a: F.Column, b: F.Column) -> F.Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
+def _numbered(sets: DataFrame, name: str) -> DataFrame:
+    """Distinct sets with an id each, written once: ids must not change."""
+    return materialize(sets.withColumn("id", F.monotonically_increasing_id()), name)
+
+
 def fuzzy_title_search(
     movies: DataFrame,
     requests: DataFrame,
@@ -85,15 +118,13 @@ def fuzzy_title_search(
     )
     best = members.withColumn("rn", F.row_number().over(w_set)).where(F.col("rn") <= limit).select("grams", "tconst")
     tsets = fields.select("grams").distinct()
-    df = tsets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     req = requests.select(
         F.col("request_id").cast("string"), F.col("query").cast("string"), F.array_sort(trigrams(F.col("query"))).alias("rgrams")
     )
     rsets = req.where(F.size("rgrams") > 0).select(F.col("rgrams").alias("grams")).distinct()
-    rp = _prefixes(rsets, ["grams"], df, threshold).withColumnsRenamed({"grams": "rgrams", "n": "rn"})
-    tp = _prefixes(tsets, ["grams"], df, threshold)
-    t = F.lit(float(threshold) - 1e-9)
-    pairs = rp.join(tp, "g").where((F.col("n") >= t * F.col("rn")) & (F.col("rn") >= t * F.col("n"))).select("rgrams", "grams").distinct()
+    rsets, tsets = _numbered(rsets, "request-sets"), _numbered(tsets, "title-sets")
+    pairs = candidate_pairs(rsets, tsets, threshold)
+    pairs = pairs.join(rsets.select(F.col("id").alias("r"), F.col("grams").alias("rgrams")), "r").join(tsets.withColumnRenamed("id", "t"), "t")
     pairs = pairs.withColumn("sim", jaccard(F.col("grams"), F.col("rgrams"))).where(F.col("sim") >= F.lit(float(threshold)))
     hits = pairs.join(best, "grams").groupBy("rgrams", "tconst").agg(F.max("sim").alias("title_similarity"))
     scored = req.join(hits, "rgrams").join(m, "tconst")
