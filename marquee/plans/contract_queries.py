@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators import curate as cu
+from marquee.operators import features as fe
 from marquee.operators import lineage as ln
 from marquee.operators import slices as sl
 from marquee.operators.ivf import vector_topk_lists
@@ -277,3 +279,38 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.sources.join(run.runs, "etl_run_id").select(
         "role", "run_type", "status", run.sources["records_read"].alias("source_records_read"), run.runs["records_read"], "records_written"
     )
+
+
+@register(
+    "one_active_violations",
+    """
+WITH f AS (
+  SELECT 'tt' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS tconst, p_partkey, unnest(CASE WHEN p_partkey % 7 = 0 THEN [1, 2, 3] ELSE [1, 2] END) AS n FROM part)
+SELECT tconst, 'recommendation_soup' AS feature_name, 'v1' AS feature_version, CAST(count(*) AS BIGINT) AS active_rows
+FROM f WHERE n IN (1, 3) AND (n = 3 OR p_partkey % 7 <> 0 OR p_partkey % 2 = 0) GROUP BY tconst HAVING count(*) > 1""",
+)
+def one_active_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature contracts with two active rows: for every other superseded row
+    the older one was never made inactive."""
+    f = text_features(spark, sf_dir)
+    key = F.col("text_feature_id")
+    forgotten = (key % 10 == 1) & (F.floor(key / 10) % 2 == 0)
+    return fe.one_active_violations(f.withColumn("active", F.col("active") | forgotten))
+
+
+@register(
+    "source_key_violations",
+    _with(
+        """
+twice AS (SELECT * FROM b_principals UNION ALL SELECT * FROM b_principals WHERE ordering % 50 = 1)
+SELECT 'titles' AS source, tconst AS key, CAST(2 AS BIGINT) AS rows FROM b_titles WHERE titleType = 'short'
+UNION ALL
+SELECT 'principals', tconst || '|' || CAST(ordering AS VARCHAR) || '|' || nconst, CAST(count(*) AS BIGINT) FROM twice GROUP BY tconst, ordering, nconst HAVING count(*) > 1"""
+    ),
+)
+def source_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated keys, where a second load repeated all shorts and every 50th credit."""
+    src = b.sources(spark, sf_dir)
+    src["titles"] = src["titles"].unionByName(src["titles"].where("titleType = 'short'"))
+    src["principals"] = src["principals"].unionByName(src["principals"].where("ordering % 50 = 1"))
+    return cu.source_key_violations(src)
