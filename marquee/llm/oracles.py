@@ -198,19 +198,6 @@ word_doc AS (
   UNION ALL
   SELECT d.k, s.lang, s.bins - 1, d.n_words - coalesce((SELECT sum(n) FROM word_hits h WHERE h.k = d.k AND h.lang = s.lang), 0)
   FROM docs d CROSS JOIN sizes s),
-class_first AS (SELECT d.lang, c.bin, sum(c.n) AS n FROM class_doc c JOIN docs d USING (k) JOIN sizes s ON s.lang = d.lang GROUP BY ALL),
-word_first AS (SELECT d.lang, w.bin, sum(w.n) AS n FROM word_doc w JOIN docs d ON d.k = w.k AND d.lang = w.lang GROUP BY ALL),
-class_each AS (SELECT c.k, s.lang, c.bin, c.n FROM class_doc c CROSS JOIN sizes s),
-c1 AS ({distance.format(h="class_each", r="class_first")}),
-w1 AS ({distance.format(h="word_doc", r="word_first")}),
-v1 AS ({verdict.format(c="c1", w="w1")}),
-trusted AS (SELECT DISTINCT v.k FROM v1 v WHERE near),
-class_ref AS (SELECT d.lang, c.bin, sum(c.n) AS n FROM class_doc c JOIN docs d USING (k) JOIN trusted USING (k) JOIN sizes s ON s.lang = d.lang GROUP BY ALL),
-word_ref AS (SELECT d.lang, w.bin, sum(w.n) AS n FROM word_doc w JOIN docs d ON d.k = w.k AND d.lang = w.lang JOIN trusted t ON t.k = d.k GROUP BY ALL),
-c2 AS ({distance.format(h="class_each", r="class_ref")}),
-w2 AS ({distance.format(h="word_doc", r="word_ref")}),
-v2 AS ({verdict.format(c="c2", w="w2")}),
-verdicts AS (SELECT k, bool_or(near) AS near FROM v2 GROUP BY k),
 windows AS (
   SELECT k, pos, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS win FROM tokens WINDOW p AS (PARTITION BY k ORDER BY pos)),
 twice AS (SELECT k, pos FROM (SELECT k, pos, count(*) OVER (PARTITION BY k, win) AS n FROM windows WHERE win IS NOT NULL) WHERE n > 1),
@@ -221,7 +208,22 @@ lines AS (
 base AS (
   SELECT d.k, d.doc_id, d.n_words, length(array_to_string(d.w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
-  FROM docs d LEFT JOIN lines l USING (k) LEFT JOIN covered c USING (k))
+  FROM docs d LEFT JOIN lines l USING (k) LEFT JOIN covered c USING (k)),
+good AS (SELECT k FROM base WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
+class_first AS (SELECT d.lang, c.bin, sum(c.n) AS n FROM class_doc c JOIN docs d USING (k) JOIN good USING (k) JOIN sizes s ON s.lang = d.lang GROUP BY ALL),
+word_first AS (SELECT d.lang, w.bin, sum(w.n) AS n FROM word_doc w JOIN docs d ON d.k = w.k AND d.lang = w.lang JOIN good g ON g.k = d.k GROUP BY ALL),
+class_each AS (SELECT c.k, s.lang, c.bin, c.n FROM class_doc c CROSS JOIN sizes s),
+c1 AS ({distance.format(h="class_each", r="class_first")}),
+w1 AS ({distance.format(h="word_doc", r="word_first")}),
+v1 AS ({verdict.format(c="c1", w="w1")}),
+trusted AS (SELECT DISTINCT v.k FROM v1 v JOIN good USING (k) WHERE near),
+class_ref AS (SELECT d.lang, c.bin, sum(c.n) AS n FROM class_doc c JOIN docs d USING (k) JOIN trusted USING (k) JOIN sizes s ON s.lang = d.lang GROUP BY ALL),
+word_ref AS (SELECT d.lang, w.bin, sum(w.n) AS n FROM word_doc w JOIN docs d ON d.k = w.k AND d.lang = w.lang JOIN trusted t ON t.k = d.k GROUP BY ALL),
+c2 AS ({distance.format(h="class_each", r="class_ref")}),
+w2 AS ({distance.format(h="word_doc", r="word_ref")}),
+v2 AS ({verdict.format(c="c2", w="w2")}),
+verdicts AS (SELECT v.k, bool_or(near) AS near FROM v2 v JOIN docs d USING (k) WHERE d.lang IS NULL OR d.lang IN (SELECT lang FROM class_ref) GROUP BY v.k)
+
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

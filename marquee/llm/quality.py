@@ -140,10 +140,17 @@ def base_counts(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int
     return len(words), len(b"".join(words).decode()), symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
+def fails_base(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
 def distances(raw: bytes, words: list[bytes], language: str | None, references: dict, forms: dict) -> tuple[float | None, float | None, bool]:
     """Distances in character classes and common words (null below the
     minimum lengths) to the document's language, or to the nearest other if
-    it has none or isn't near it, and whether both are within the limits."""
+    it names none or isn't near it, and whether both are within the limits.
+    A document of a language without a reference is compared with none."""
+    if language is not None and language not in references:
+        return None, None, True
     classes = class_counts(raw)
     n = int(classes.sum())
     best: tuple = (None, None, True)
@@ -161,9 +168,9 @@ def distances(raw: bytes, words: list[bytes], language: str | None, references:
 
 
 def language_references(df: DataFrame, common: dict[str, list[str]], first: dict | None = None) -> dict[str, dict[str, np.ndarray]]:
-    """Both histograms of every listed language over all its documents, or,
-    with ``first`` references, over those within the limits of these, so that
-    much junk in the corpus doesn't become the norm.
+    """Both histograms of every listed language over its documents that pass
+    the base rule, or, with ``first`` references, over those of them within the
+    limits of these, so that much junk in the corpus doesn't become the norm.
 
     ``df``: (lang, text). At most (classes + listed words + 1) sums for each
     listed language come to the driver, whatever the corpus.
@@ -177,6 +184,8 @@ def language_references(df: DataFrame, common: dict[str, list[str]], first: dict
                 if language not in forms:
                     continue
                 words = raw.split()
+                if fails_base(len(words), repeated_words(words)):
+                    continue
                 if first and not distances(raw, words, language, first, forms)[2]:
                     continue
                 for kind, counts in (("class", class_counts(raw)), ("word", word_counts(words, *forms[language]))):
@@ -195,7 +204,7 @@ def judge(raw: bytes, language: str | None, references: dict, forms: dict) -> di
     """Base counts, distances and verdict of one document."""
     words = raw.split()
     n_words, chars, symbols, dup_lines, repeated = base_counts(raw, words)
-    failed = n_words < 50 or 100 * repeated > 50 * n_words
+    failed = fails_base(n_words, repeated)
     d_class, d_word, near = distances(raw, words, language, references, forms)
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeated,
@@ -214,10 +223,10 @@ def judge_documents(df: DataFrame, text: str = "text", lang: str = "lang", commo
     """Add struct ``into``: base counts, ``base_failed``, the two distances
     (null below the minimum lengths) and the verdict ``kept``.
 
-    Null text counts as empty (fails the base rule); a null or unlisted
-    language is compared with the nearest reference; with no reference at all
-    (no document of a listed language) only the base rule judges. Repeated
-    rows are judged alike; all other columns stay.
+    Null text counts as empty (fails the base rule); a null language is
+    compared with the nearest reference; where the language has no reference
+    (it is not listed, or none of its documents passes the base rule) only the
+    base rule judges. Repeated rows are judged alike; all other columns stay.
     """
     slim = pick(df, lang, text).toDF("lang", "text")
     references = language_references(slim, common, language_references(slim, common))

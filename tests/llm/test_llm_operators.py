@@ -280,3 +280,18 @@ def test_histogram_ranges(spark):
     for r in token_counts.answers(hist, (300,), (0.5,)).collect():
         every = [*lengths, 0]
         assert r["truncated_total"] == sum(min(x, r["context_limit"]) for x in every) and r["docs_within"] == sum(x <= r["context_limit"] for x in every)
+
+
+def test_quality_keeps_clean_documents_beside_junk_and_other_languages(spark):
+    """Junk that fails the base rule is no norm, however much of it there is,
+    and a language without a reference is judged by the base rule alone."""
+    rnd = random.Random(9)
+    common = quality.COMMON_WORDS["en"]
+    prose = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.4 else "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 8))) for _ in range(n)) + "."
+    greek = lambda n: " ".join("".join(rnd.choices("αβγδεζηθικλμνοπρστ", k=rnd.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(200), "en") for i in range(20)]
+    rows += [(100, "#1 $2 " * 200_000, "en")] + [(200 + i, "BUY NOW %% " * 400, "en") for i in range(40)]
+    rows += [(300 + i, greek(120), "el") for i in range(3)] + [(400, greek(20), "el"), (401, "α β γ " * 60, "el")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    kept = {r["doc_id"] for r in quality.judge_documents(df).where("quality.kept").collect()}
+    assert kept == set(range(20)) | {300, 301, 302}

@@ -71,7 +71,9 @@ def test_awkward_and_empty_tables_pass_through(spark, request, tables):
     folder = request.getfixturevalue(tables)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
-    assert cp.run(spark, folder).count() == 0  # their one very long text, the norm of such a corpus, repeats itself
+    # the one very long text repeats itself and is no norm: clean ones stay, of copies one
+    kept = {r["doc_id"] for r in cp.run(spark, folder).select("doc_id").distinct().collect()}
+    assert ({None, 1} <= kept and not {2, 8, 13} & kept) if tables == "edge_dir" else not kept
     for name, stage in cp.STAGES[1:-1]:  # without the quality rules something is left
         docs = stage(spark, docs, folder)
         assert docs.columns == columns, name
