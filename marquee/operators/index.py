@@ -37,14 +37,33 @@ def validate_columns(columns: list[str] | None) -> None:
         raise ValueError(MISSING_COLUMNS_ERROR + ", ".join(missing))
 
 
+#: Column of rows that know their place in a file: struct (file, block, line).
+PLACE = "_place"
+
+
+def _by_place(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered inside their splits, plus the rows of earlier splits; the
+    place is dropped."""
+    split = ["_file", "_block"]
+    rows = df.withColumns({"_file": F.col(f"{PLACE}.file"), "_block": F.col(f"{PLACE}.block")})
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy(f"{PLACE}.line"))
+    earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select(*split, F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"))
+    numbered = rows.withColumn("_nth", inside).join(offsets, split)
+    return numbered.withColumn(name, F.col("_off") + F.col("_nth")).drop(*split, "_nth", "_off", PLACE)
+
+
 def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """1-based position of each row: by file name and place in the file for a
-    scan of files (whose splits Spark orders by size), else in the order of
-    the partitions.
+    scan of files (whose splits Spark orders by size) and for rows that carry
+    their ``PLACE``, else in the order of the partitions.
 
     Row counts of the splits (one row per split) give the offset of each;
     only those are summed in order, and are joined back by split.
     """
+    if PLACE in df.columns:
+        return _by_place(df, name)
     place = ["_file", "_block", "_pid"]
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     try:

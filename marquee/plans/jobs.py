@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators.curate import DEFAULT_MIN_VOTES, DEFAULT_VOTE_QUANTILE, curate_sources
-from marquee.operators.index import TITLE_COLUMNS
+from marquee.operators.index import PLACE, TITLE_COLUMNS
 from marquee.plans.store import build_store
 from marquee.session import scratch_path, write_table
 from marquee.sources.curated_io import read_curated_csv, write_curated_csv, write_curated_parquet
@@ -62,7 +62,7 @@ def curate_files(
         pq_path = write_curated_parquet(curated, f"{output_prefix}.parquet") if write_typed else None
     finally:
         curated.unpersist()
-    out = spark.read.parquet(pq_path) if pq_path else read_curated_csv(spark, csv_path)
+    out = spark.read.parquet(pq_path) if pq_path else read_curated_csv(spark, csv_path).drop(PLACE)
     return CurateResult(csv_path, pq_path, out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType
 
 from marquee.functions.listcodec import encode_list
 from marquee.operators.curate import CURATED_COLUMNS
+from marquee.operators.index import PLACE
 from marquee.sources.split_csv import read_csv
 
 
@@ -39,9 +40,10 @@ def write_curated_csv(curated: DataFrame, path: str) -> str:
 
 def read_curated_csv(spark: SparkSession, path: str) -> DataFrame:
     """Curated CSV as text rows (lists stay list-literal text). Cells may hold
-    line breaks; a large file is still read by many tasks."""
+    line breaks; a large file is still read by many tasks. The last column,
+    ``PLACE``, says where a row stands; row numbers go by it."""
     names = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=False).csv(path).columns
-    return read_csv(spark, path, names)
+    return read_csv(spark, path, names, place=PLACE)
 
 
 def write_curated_parquet(curated: DataFrame, path: str) -> str:

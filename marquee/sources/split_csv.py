@@ -126,17 +126,20 @@ def csv_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     return single.unionByName(several).withColumn("record", trimmed).where("record <> ''")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True, quote: str = '"') -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], header: bool = True, quote: str = '"', place: str | None = None) -> DataFrame:
     """The cells of quoted CSV files as text columns; with ``header`` the first
     record of every file is left out. A missing cell is null, as is an empty
-    unquoted one."""
+    unquoted one. ``place`` names one more column: struct (file, block, line),
+    in the order of the records."""
     records = csv_records(spark, path, quote)
     if header:
         first = (F.col("block") == 0) & (F.col("line") == 0)
         records = records.where(~first)
     ddl = ", ".join("`" + c.replace("`", "``") + "` string" for c in columns)
     cells = F.from_csv("record", ddl, {"quote": quote, "escape": quote})
-    return records.select(cells.alias("cells")).select(*[F.col("cells.`" + c.replace("`", "``") + "`").alias(c) for c in columns])
+    parsed = records.select(cells.alias("cells"), F.struct("file", "block", "line").alias("place"))
+    shown = [F.col("cells.`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+    return parsed.select(*shown, *([F.col("place").alias(place)] if place else []))
 
 
 __all__ = ["csv_records", "read_csv"]

@@ -116,3 +116,15 @@ def test_running_digest_holds_no_file():
     assert state.hexdigest(size) == plain.hexdigest()
     with pytest.raises(ValueError, match="changed while it was read"):
         state.hexdigest(size + 2)
+
+
+def test_row_numbers_follow_the_records_of_split_files(spark, tmp_path, small_splits):
+    from marquee.operators.index import prepare_catalog
+    from marquee.sources.curated_io import read_curated_csv
+
+    rows = [[f"t{i}", "two\nlines" if i % 3 else "one", "['Drama']", "8.0", "['P']"] for i in range(120)]
+    size = write_csv(tmp_path / "c.csv", rows, ("title", "director", "genres", "score", "actors"))
+    for splits in (1, 9):
+        small_splits(size // splits + 1)
+        got = {r["raw_title"]: r["tconst"] for r in prepare_catalog(read_curated_csv(spark, str(tmp_path))).collect()}
+        assert got == {f"t{i}": f"row:{i + 1}" for i in range(120)}
