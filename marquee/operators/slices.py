@@ -26,6 +26,8 @@ COPIED_KEYS = {
 }
 FEATURE_KEYS = ["feature_name", "feature_version"]
 MODEL_KEYS = ["model_name", "model_version", "vector_dimension"]
+#: Terms of an item that are kept in one row where overlaps are counted.
+LIST_TERMS = 1_024
 ONE_PER = ["text_feature_id", *MODEL_KEYS]
 
 
@@ -50,7 +52,9 @@ def embedding_problems(embeddings: DataFrame, features: DataFrame, movies: DataF
     * ``vector_digest``: ``embedding_sha256`` is given and is another vector's
 
     Feature ids and movie ids are unique in their tables (the first row by
-    their other columns counts if they are not).
+    their other columns counts if they are not). No side is broadcast: a
+    million features pass the size check in their packed files, and would be
+    unpacked in the driver.
     """
     e = embeddings
     if "embedding_sha256" not in e.columns:
@@ -62,7 +66,7 @@ def embedding_problems(embeddings: DataFrame, features: DataFrame, movies: DataF
     # repeated keys from a count joined back: a hot key has one row in the counts
     twice = e.groupBy(*ONE_PER).count().where("count > 1").select(*[F.col(c).alias("k_" + c) for c in ONE_PER], F.lit(True).alias("k_twice"))
     same_key = [F.col(c).eqNullSafe(F.col("k_" + c)) for c in ONE_PER]
-    j = e.join(f, "text_feature_id", "left").join(m, "tconst", "left").join(twice, same_key, "left")
+    j = e.join(f.hint("merge"), "text_feature_id", "left").join(m.hint("merge"), "tconst", "left").join(twice.hint("merge"), same_key, "left")
 
     is_null = F.coalesce(F.size("embedding"), F.lit(-1)) <= 0
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -106,34 +110,45 @@ def serving_slice(embeddings: DataFrame, features: DataFrame, movies: DataFrame,
     e = embeddings.where(F.col("active") & chosen & (F.size("embedding") == F.col("vector_dimension")))
     valid = features.where(F.col("active")).select("text_feature_id", *COPIED_KEYS).distinct()
     return (
-        e.join(valid, ["text_feature_id", *COPIED_KEYS], "left_semi")
-        .join(movies.where(F.col("active")).select("tconst"), "tconst", "left_semi")
+        e.join(valid.hint("merge"), ["text_feature_id", *COPIED_KEYS], "left_semi")
+        .join(movies.where(F.col("active")).select("tconst").hint("merge"), "tconst", "left_semi")
         .select("tconst", "text_feature_id", "embedding")
     )
 
 
-def overlap_counts(pairs: DataFrame, terms: DataFrame, salts: int = 8) -> DataFrame:
+def overlap_counts(pairs: DataFrame, terms: DataFrame, salts: int = 8, list_terms: int = LIST_TERMS) -> DataFrame:
     """``q, c, overlap``: how many distinct terms both items have, for the
     given pairs only (pairs without one are left out).
 
-    ``terms``: (id, term). Only the postings of the pair's item with fewer
-    terms are walked, and each is looked up in the other item's: the work is
+    ``terms``: (id, term); only those of items in pairs are moved. An item of
+    at most ``list_terms`` terms is one row with all of them, and a pair of two
+    such items meets both rows. Of other pairs the item with fewer terms is
+    walked term by term, and each is looked up in the other item's: the work is
     the sum over the pairs of the shorter list, not of the terms' document
     frequencies. An item in very many pairs is spread over ``salts`` tasks.
     """
-    has = terms.select(F.col("id"), "term").where("id is not null and term is not null").distinct()
+    p = pairs.select("q", "c").distinct()
+    paired = p.select(F.col("q").alias("id")).union(p.select("c")).distinct()
+    has = terms.select(F.col("id"), "term").where("id is not null and term is not null")
+    has = has.join(paired.hint("merge"), "id", "left_semi").distinct()
     n = has.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    is_short = F.col("n") <= list_terms
+    lists = has.join(n.where(is_short).hint("merge"), "id").groupBy("id", "n").agg(F.collect_list("term").alias("terms"))
+    items = lists.unionByName(n.where(~is_short).withColumn("terms", F.lit(None).cast("array<string>")))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     salted = lambda c: F.pmod(F.xxhash64("q", "c", F.lit(c)), F.lit(salts)).cast("int")
-    p = pairs.select("q", "c").distinct()
     for side in ("q", "c"):
-        sizes = n.select(F.col("id").alias(side), F.col("n").alias("n_" + side), spread)
-        p = p.withColumn("salt", salted(side)).join(sizes, [side, "salt"]).drop("salt")
+        own = items.select(F.col("id").alias(side), F.col("n").alias("n_" + side), F.col("terms").alias("t_" + side), spread)
+        p = p.withColumn("salt", salted(side)).join(own.hint("merge"), [side, "salt"]).drop("salt")
+    both_short = F.col("t_q").isNotNull() & F.col("t_c").isNotNull()
+    by_list = p.where(both_short).select("q", "c", F.size(F.array_intersect("t_q", "t_c")).cast("long").alias("overlap")).where("overlap > 0")
+
     fewer = F.col("n_q") <= F.col("n_c")
-    p = p.select("q", "c", F.when(fewer, F.col("q")).otherwise(F.col("c")).alias("walked"), F.when(fewer, F.col("c")).otherwise(F.col("q")).alias("asked"))
-    walked = p.withColumn("salt", salted("w")).join(has.select(F.col("id").alias("walked"), "term", spread), ["walked", "salt"]).drop("salt")
-    met = walked.withColumn("salt", salted("a")).join(has.select(F.col("id").alias("asked"), "term", spread), ["asked", "term", "salt"])
-    return met.groupBy("q", "c").agg(F.count(F.lit(1)).alias("overlap"))
+    long = p.where(~both_short).select("q", "c", F.when(fewer, F.col("q")).otherwise(F.col("c")).alias("walked"), F.when(fewer, F.col("c")).otherwise(F.col("q")).alias("asked"))
+    of = lambda side: has.join(long.select(F.col(side).alias("id")).distinct().hint("merge"), "id", "left_semi").select(F.col("id").alias(side), "term", spread)
+    walked = long.withColumn("salt", salted("w")).join(of("walked").hint("merge"), ["walked", "salt"]).drop("salt")
+    met = walked.withColumn("salt", salted("a")).join(of("asked").hint("merge"), ["asked", "term", "salt"])
+    return by_list.unionByName(met.groupBy("q", "c").agg(F.count(F.lit(1)).alias("overlap")))
 
 
 def rerank_by_overlap(candidates: DataFrame, terms: DataFrame, k: int) -> DataFrame:

@@ -58,7 +58,7 @@ def title_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, p = b.table(spark, sf_dir, "embeddings"), b.table(spark, sf_dir, "part")
     texts = p.select(F.col("p_partkey").alias("vec_id"), "p_name", "p_type")
     x, n = F.col("vec_id"), F.col("n")
-    both = v.select("vec_id", "embedding", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).join(texts, "vec_id", "left")
+    both = v.select("vec_id", "embedding", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).join(texts.hint("merge"), "vec_id", "left")
     old = F.when(x % 7 == 0, F.concat("p_name", F.lit(" (old)"))).otherwise(F.col("p_name"))
     text = F.when(x % 11 == 3, F.lit("outdated")).when(n == 1, old).otherwise(F.concat_ws(" | ", "p_name", "p_type"))
     return both.select(
@@ -125,7 +125,7 @@ def _served(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     config = spark.createDataFrame([(FEATURE, version, MODEL, MODEL_VERSION, DIM)], kinds)
     shown = movies(spark, sf_dir)
     served = sl.serving_slice(title_embeddings(spark, sf_dir), text_features(spark, sf_dir), shown, config)
-    return served.join(shown.drop("active"), "tconst").withColumnRenamed("tconst", "id")
+    return served.join(shown.drop("active").hint("merge"), "tconst").withColumnRenamed("tconst", "id")
 
 
 def _slice_sql(version: str) -> str:
