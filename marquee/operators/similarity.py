@@ -153,17 +153,16 @@ def topk_shared(
         keep = [c for c in df.columns if c not in ("id", "n2", "hv", *attrs)]
         return df.select(*keep, F.col("id").alias("c"), *attrs, F.col("n2").alias("c_n2"), F.col("hv").alias("hc"))
 
-    # 1. rare features: bounded self-join on the feature
+    # 1. rare features: bounded self-join on the feature; a candidate's row has
+    # all that its ranking needs, so no pair is moved to be looked up
     rare = tagged.where(~F.col("hot")).select("id", "feat", "w")
     rq = rare if queries is None else rare.join(queries.select("id"), "id", "left_semi")
-    rare_pairs = (
-        rq.alias("a")
-        .join(rare.alias("b"), "feat")
-        .where(F.col("a.id") != F.col("b.id"))
-        .groupBy(F.col("a.id").alias("q"), F.col("b.id").alias("id"))
-        .agg(F.sum(F.col("a.w") * F.col("b.w")).alias("rare_dot"))
+    rare_c = (
+        rq.select("feat", F.col("id").alias("q"), F.col("w").alias("q_w"))
+        .join(cand_side(rare.join(it, "id")), "feat")
+        .where(F.col("q") != F.col("c"))
+        .select("q", (F.col("q_w") * F.col("w")).alias("rare_dot"), *cand_cols)
     )
-    rare_c = cand_side(rare_pairs.join(it, "id")).select("q", "rare_dot", *cand_cols)
 
     # 2. hot features: per sub-vector short lists
     if mode == "overlap":
@@ -203,16 +202,10 @@ def topk_shared(
         direct = direct.unionByName(best_by_postings(as_query(q_hot.where(~is_heavy)), as_cand(heavy), k, mode, n_hot, n_heavy))
         sources.append(cand_side(direct.withColumnRenamed("c", "id").join(it, "id")).select("q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols))
 
-    cands = (
-        reduce(DataFrame.unionByName, sources)
-        .groupBy("q", "c")
-        .agg(
-            F.sum("rare_dot").alias("rare_dot"),
-            *[F.first(a, ignorenulls=True).alias(a) for a in attrs],
-            F.first("c_n2").alias("c_n2"),
-            F.first("hc").alias("hc"),
-        )
-    )
+    # the pairs are moved once, by query: grouping, the query's own vector and
+    # the ranking all find them there
+    pairs = reduce(DataFrame.unionByName, sources)
+    cands = pairs.repartition("q").groupBy("q", *cand_cols).agg(F.sum("rare_dot").alias("rare_dot"))
     qattr = qit.select(F.col("id").alias("q"), F.col("n2").alias("q_n2"), F.col("hv").alias("hq"))
     scored = cands.join(qattr, "q").withColumn("dot", F.col("rare_dot") + _hot_dot(F.col("hq"), F.col("hc")))
     if mode == "overlap":
