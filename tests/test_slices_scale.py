@@ -8,8 +8,12 @@ from marquee.operators import slices as sl
 from test_slices import _thawed, emb, tables
 
 
-def test_constraints_send_no_table_through_the_driver(spark):
-    e, f, m = tables(spark, _thawed([emb(1), emb(2, feature=99)]))
+def test_constraints_send_no_table_through_the_driver(spark, tmp_path):
+    stored = []
+    for i, df in enumerate(tables(spark, _thawed([emb(1), emb(2, feature=99)]))):  # files have a known, small size
+        df.write.parquet(str(tmp_path / str(i)))
+        stored.append(spark.read.parquet(str(tmp_path / str(i))))
+    e, f, m = stored
     plan = sl.embedding_problems(e, f, m)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
 
