@@ -80,3 +80,31 @@ def test_a_third_of_the_rows_are_copies(spark):
     v = v.unionByName(hot)
     found, exact = rows(ivf.vector_topk_lists(v, k=10, list_rows=64)), rows(vector_topk(v, k=10))
     assert recall(found, exact) >= 0.9 and all(found[f"h{i}"] == exact[f"h{i}"] for i in range(0, 300, 37))
+
+
+def test_k_rows_per_query_leave_the_scan(spark, monkeypatch):
+    """Not k for every list that a query looks into."""
+    v, left = clustered(spark, n=600), []
+    add = type(v).withColumn
+    monkeypatch.setattr(type(v), "withColumn", lambda df, name, col: (name == "rank" and left.append(df.count()), add(df, name, col))[1])
+    ivf.vector_topk_lists(v, k=5, lists=20, probes=15)
+    assert left == [600 * 5]
+
+
+def test_a_query_finds_the_best_of_its_lists(spark):
+    """Many small groups, rows that come twice; against the definition."""
+    v = clustered(spark, n=500)
+    v = v.unionByName(v.where("try_cast(id as int) < 9"))
+    fitted = ivf.fit_lists(v, lists=12, probes=5)
+    table = [(r["id"], np.array(r["embedding"]), r["score"], r["title"]) for r in v.collect()]
+    unit = ivf._unit([x[1] for x in table])
+    nearest = ivf._nearest([x[1] for x in table], fitted.centres, 5)
+    best = {}
+    for i, (q, *_) in enumerate(table):
+        for j in np.flatnonzero(np.isin(nearest[:, 0], nearest[i])):
+            if table[j][0] != q:
+                best.setdefault(q, []).append((round(1.0 - float(unit[i] @ unit[j]), 9), -table[j][2], table[j][3], table[j][0]))
+    found = {}
+    for r in ivf.vector_topk_lists(v, fitted, k=6, query_rows=20, group_rows=25).orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append((round(r["distance"], 9), -r["score"], r["title"], r["c"]))
+    assert found == {q: sorted(c)[:6] for q, c in best.items()}
