@@ -40,10 +40,13 @@ def write_curated_csv(curated: DataFrame, path: str) -> str:
 
 def read_curated_csv(spark: SparkSession, path: str) -> DataFrame:
     """Curated CSV as text rows (lists stay list-literal text). Cells may hold
-    line breaks; a large file is still read by many tasks. The last column,
-    ``PLACE``, says where a row stands; row numbers go by it."""
+    line breaks; a large file is still read by many tasks. Where a row has no
+    id (one look at the id column decides), a last column, ``PLACE``, says
+    where each row stands; row numbers go by it."""
     names = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=False).csv(path).columns
-    return read_csv(spark, path, names, place=PLACE)
+    rows = read_csv(spark, path, names, place=PLACE)
+    named = "tconst" in names and rows.where("tconst is null or tconst = ''").isEmpty()
+    return rows.drop(PLACE) if named else rows
 
 
 def write_curated_parquet(curated: DataFrame, path: str) -> str:

@@ -128,3 +128,18 @@ def test_row_numbers_follow_the_records_of_split_files(spark, tmp_path, small_sp
         small_splits(size // splits + 1)
         got = {r["raw_title"]: r["tconst"] for r in prepare_catalog(read_curated_csv(spark, str(tmp_path))).collect()}
         assert got == {f"t{i}": f"row:{i + 1}" for i in range(120)}
+
+
+def test_place_is_shown_only_where_a_row_has_no_id(spark, tmp_path, small_splits):
+    from marquee.operators.index import prepare_catalog
+    from marquee.sources.curated_io import read_curated_csv
+
+    head = ("tconst", "title", "director", "genres", "score", "actors")
+    rows = [[f"tt{i}", f"t{i}", "two\nlines" if i % 3 else "one", "['Drama']", "8.0", "['P']"] for i in range(60)]
+    size = write_csv(tmp_path / "c.csv", rows, head)
+    small_splits(size // 5 + 1)
+    assert read_curated_csv(spark, str(tmp_path)).columns == list(head)
+    rows[50][0] = ""
+    write_csv(tmp_path / "c.csv", rows, head)
+    got = {r["raw_title"]: r["tconst"] for r in prepare_catalog(read_curated_csv(spark, str(tmp_path))).collect()}
+    assert got == {f"t{i}": "row:51" if i == 50 else f"tt{i}" for i in range(60)}
