@@ -11,10 +11,12 @@ k-th best result (with equal scores the smaller id wins, so it must be below).
 
 Every block of queries meets every block of members once (a stated query set
 against all rows): blocks are dealt to shards by a hash, queries go to all
-shards. A shard's blocks come one after the other for one block of queries, and
-what the earlier ones yielded is the threshold of the next: a block whose
-members all score less is left as soon as its lists show it. Only the best k of
-a query leave a shard, and are ranked per query.
+shards. A task keeps the queries of its shard and streams the shard's blocks
+past them one after the other; nothing is joined or broadcast. What the earlier
+blocks yielded is the threshold of the next: a block whose members all score
+less is left as soon as its lists show it. Beyond ``GROUP`` queries they are
+dealt to groups, and each group meets all members. Only the best k of a query
+leave a shard, and are ranked per query.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from marquee.llm.common import pick
 
 MEMBERS, QUERIES = 8_192, 512  # rows of a block
+GROUP = 32_768  # queries that a task keeps, about
 STEP, GROWTH = 32, 4  # entries of a list read at once: so many, or this part of those read
 LISTS = 4  # the part of the lists that is read in a round
 
@@ -165,36 +168,48 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shards: int | None = N
     usable = lambda df: pick(df, "vec_id", "v").where("vec_id is not null and v is not null and size(v) > 0")
     members = packed(usable(vectors).select(F.col("vec_id").cast("long"), "v"), MEMBERS, True)
     members = members.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    asked = packed(usable(queries).select(F.col("vec_id").cast("long"), "v"), QUERIES, False)
-    asked = asked.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    met = members.join(asked, ["shard", "dim"])
-    met = met.withColumns({"asked": F.xxhash64("q_ids", "q_matrix"), "block": F.xxhash64("ids")}).sortWithinPartitions("shard", "dim", "asked", "block")
+    asks = usable(queries).select(F.col("vec_id").cast("long"), "v")
+    # how many groups, as a scalar subquery: one small count beside the plan
+    groups = asks.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)), F.lit(1)).cast("int").alias("n")).scalar()
+    asked = packed(asks, QUERIES, False).withColumn("grp", F.pmod(F.xxhash64("ids"), groups).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = asked.withColumns({"shard": every(F.lit(shards)), "member": F.lit(False)})
+    members = members.withColumns({"grp": every(groups), "member": F.lit(True)})
+    met = members.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "grp", "member")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["query_id", "vec_id", "score", "shard", "read", "scored"]
         held: tuple | None = None
-        found: dict[int, Best] = {}
+        found: list[tuple[int, np.ndarray, Best]] = []
 
-        def results() -> pa.RecordBatch:
-            rows = [(q, i, s, held[0], b.read, b.scored) for q, b in found.items() for i, s in zip(b.ids.tolist(), b.scores.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], names=names)
+        def results() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found), QUERIES):
+                some = found[at : at + QUERIES]
+                n = [len(b.ids) for _, _, b in some]
+                per_query = ([q for q, _, _ in some], [held[0]] * len(some), [b.read for _, _, b in some], [b.scored for _, _, b in some])
+                q, shard, read, scored = (np.repeat(np.array(x, np.int64), n) for x in per_query)
+                ids, scores = (np.concatenate(x) for x in ([b.ids for _, _, b in some], [b.scores for _, _, b in some]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, ids, scores, shard, read, scored)], names=names)
 
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, dim, asked_, ids, matrix, lists, q_ids, q_matrix = (batch.column(c)[row].as_py() for c in range(8))
-                if held != (shard, dim, asked_, q_ids):
-                    if found:
-                        yield results()
-                    held, found = (shard, dim, asked_, q_ids), {int(q): Best(k) for q in np.frombuffer(q_ids, "<i8")}
-                ids = np.frombuffer(ids, "<i8")
-                matrix, asks = (np.frombuffer(x, "<i8").reshape(-1, dim) for x in (matrix, q_matrix))
+                shard, dim, grp, member = (batch.column(c)[row].as_py() for c in range(4))
+                if held != (shard, dim, grp):
+                    yield from results()
+                    held, found = (shard, dim, grp), []
+                if member and not found:
+                    continue
+                ids, matrix, lists = (batch.column(c)[row].as_buffer() for c in range(4, 7))
+                ids, matrix = np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<i8").reshape(-1, dim)
+                if not member:  # they come first, and outlive the batch
+                    found += [(q, v, Best(k)) for q, v in zip(ids.tolist(), matrix.copy())]
+                    continue
                 lists = np.frombuffer(lists, "<i4").reshape(dim, -1)
-                for (q, best), v in zip(found.items(), asks):
+                for q, v, best in found:
                     threshold_search(v, q, ids, matrix, lists, best)
-        if found:
-            yield results()
+        yield from results()
 
-    columns = ["shard", "dim", "asked", "ids", "matrix", "lists", "q_ids", "q_matrix"]
+    columns = ["shard", "dim", "grp", "member", "ids", "matrix", "lists"]
     best = met.select(*columns).mapInArrow(work, "query_id bigint, vec_id bigint, score bigint, shard bigint, read bigint, scored bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     if not accesses:
