@@ -8,7 +8,10 @@ its shard:
 * candidates are dealt to shards of bounded size by a hash; a shard holds, for
   each of its features, the posting list (candidates in order of their ties,
   weights) and its largest weight: what the feature can add at most;
-* queries come in blocks to every shard. A query reads its lists from the
+* queries come in blocks to every shard, by an exchange: a task builds a shard
+  once and streams the blocks past it. They are not joined, because copies for
+  every shard look as small to Spark as one, and would be broadcast through the
+  driver. A query reads its lists from the
   shortest on and adds up. Once the k-th best sum so far is more than all
   unread lists together can add, a candidate met in none of the lists read
   cannot be among the best k: the long lists that are left are no longer read,
@@ -119,24 +122,32 @@ def best_by_postings(queries: DataFrame, candidates: DataFrame, k: int, mode: st
     asked = queries.select(F.struct("q", "n2", "hv").alias("query"))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query.q"), blocks).cast("int"))
     asked = asked.groupBy("block").agg(F.collect_list("query").alias("asked"))  # about QUERY_BLOCK rows
-    met = packed.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1))), "shard").select("shard", "items", "asked")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), "asked")
+    met = packed.unionByName(asked, allowMissingColumns=True).select("shard", "items", "asked")
+    met = met.repartition("shard").sortWithinPartitions("shard", F.col("items").isNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: int | None = None
         for batch in batches:
             for r in range(batch.num_rows):
-                rows, asks = batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
-                rows = [rows[i] for i in _tie_order(rows, mode)]
-                item = np.repeat(np.arange(len(rows)), [len(x["hv"]) for x in rows])
-                feat = np.array([f["feat"] for x in rows for f in x["hv"]], dtype=object)
-                weight = np.array([f["w"] for x in rows for f in x["hv"]], np.int64)
-                length = np.sqrt(np.array([x["n2"] if mode == "cosine" else 1 for x in rows], float))
-                shard, place = Shard.of(item, feat.astype(str), weight, length), {x["c"]: i for i, x in enumerate(rows)}
+                at, rows, asks = (batch.column(c)[r].as_py() for c in range(3))
+                if rows is not None:  # the shard comes before the queries
+                    held, rows = at, [rows[i] for i in _tie_order(rows, mode)]
+                    item = np.repeat(np.arange(len(rows)), [len(x["hv"]) for x in rows])
+                    feat = np.array([f["feat"] for x in rows for f in x["hv"]], dtype=object)
+                    weight = np.array([f["w"] for x in rows for f in x["hv"]], np.int64)
+                    length = np.sqrt(np.array([x["n2"] if mode == "cosine" else 1 for x in rows], float))
+                    shard, names = Shard.of(item, feat.astype(str), weight, length), [x["c"] for x in rows]
+                    place = {c: i for i, c in enumerate(names)}
+                    continue
+                if held != at:  # a shard without candidates
+                    continue
                 out_q, out_c = [], []
                 for ask in asks:
                     scale = float(np.sqrt(ask["n2"])) if mode == "cosine" else 1.0
                     best, _, _ = shard.best([f["feat"] for f in ask["hv"]], [f["w"] for f in ask["hv"]], k, place.get(ask["q"]), scale)
                     out_q += [ask["q"]] * len(best)
-                    out_c += [rows[i]["c"] for i in best.tolist()]
+                    out_c += [names[i] for i in best.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.string()), pa.array(out_c, pa.string())], names=["q", "c"])
 
     return met.mapInArrow(work, "q string, c string")

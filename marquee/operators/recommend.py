@@ -72,7 +72,7 @@ def _resolve(requests: DataFrame, titles: DataFrame) -> DataFrame:
         (F.col("top_n").cast("int") if "top_n" in cols else F.lit(None).cast("int")).alias("req_top_n"),
     )
     lookup = titles.select(F.col("title").alias("query"), F.col("tconst").alias("q"))
-    return req.join(lookup, "query", "left")
+    return req.join(lookup.hint("merge"), "query", "left")
 
 
 def recommend(

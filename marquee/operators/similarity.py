@@ -39,6 +39,9 @@ a contradiction. Candidates that share a rare feature are all found by step
 1. If ``q`` or ``c`` is heavy and ``c`` is not among the best ``k`` of its shard
 by hot features, those k rank before it in the result too. Every surviving candidate is then re-scored exactly (rare dot + dot of the
 two hot vectors) before the final ``row_number() <= k``.
+
+No side that grows with the items is broadcast: a million of them pass the size
+check in their packed files, and would be unpacked in the driver.
 """
 
 from __future__ import annotations
@@ -141,11 +144,11 @@ def topk_shared(
     hv = tagged.where("hot").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("feat", "w"))).alias("hv"))
     it = (
         items.select("id", *attrs)
-        .join(norms, "id")
-        .join(hv, "id", "left")
+        .join(norms.hint("merge"), "id")
+        .join(hv.hint("merge"), "id", "left")
         .withColumn("hv", F.coalesce(F.col("hv"), F.array().cast(_HV_TYPE)))
     )
-    qit = it if queries is None else it.join(queries.select("id"), "id", "left_semi")
+    qit = it if queries is None else it.join(queries.select("id").hint("merge"), "id", "left_semi")
 
     cand_cols = ["c", *attrs, "c_n2", "hc"]
 
@@ -156,10 +159,10 @@ def topk_shared(
     # 1. rare features: bounded self-join on the feature; a candidate's row has
     # all that its ranking needs, so no pair is moved to be looked up
     rare = tagged.where(~F.col("hot")).select("id", "feat", "w")
-    rq = rare if queries is None else rare.join(queries.select("id"), "id", "left_semi")
+    rq = rare if queries is None else rare.join(queries.select("id").hint("merge"), "id", "left_semi")
     rare_c = (
         rq.select("feat", F.col("id").alias("q"), F.col("w").alias("q_w"))
-        .join(cand_side(rare.join(it, "id")), "feat")
+        .join(cand_side(rare.join(it.hint("merge"), "id")).hint("merge"), "feat")
         .where(F.col("q") != F.col("c"))
         .select("q", (F.col("q_w") * F.col("w")).alias("rare_dot"), *cand_cols)
     )
@@ -183,7 +186,7 @@ def topk_shared(
         .select(F.col("id").alias("q"), F.explode(_subsets(F.col("hv"))).alias("A"))
         .select("q", _feats_of(F.col("A")).alias("akey"))
     )
-    sub_c = qsub.join(lists, "akey").where(F.col("q") != F.col("c")).select(
+    sub_c = qsub.join(lists.hint("merge"), "akey").where(F.col("q") != F.col("c")).select(
         "q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols
     )
 
@@ -200,14 +203,15 @@ def topk_shared(
         q_hot = qit.where(F.size("hv") >= 1)
         direct = best_by_postings(as_query(q_hot.where(is_heavy)), as_cand(hot_items), k, mode, n_heavy, n_hot)
         direct = direct.unionByName(best_by_postings(as_query(q_hot.where(~is_heavy)), as_cand(heavy), k, mode, n_hot, n_heavy))
-        sources.append(cand_side(direct.withColumnRenamed("c", "id").join(it, "id")).select("q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols))
+        # the items are hashed where they are: the many pairs need no sorting
+        sources.append(cand_side(direct.withColumnRenamed("c", "id").join(it.hint("shuffle_hash"), "id")).select("q", F.lit(0).cast("bigint").alias("rare_dot"), *cand_cols))
 
     # the pairs are moved once, by query: grouping, the query's own vector and
     # the ranking all find them there
     pairs = reduce(DataFrame.unionByName, sources)
     cands = pairs.repartition("q").groupBy("q", *cand_cols).agg(F.sum("rare_dot").alias("rare_dot"))
     qattr = qit.select(F.col("id").alias("q"), F.col("n2").alias("q_n2"), F.col("hv").alias("hq"))
-    scored = cands.join(qattr, "q").withColumn("dot", F.col("rare_dot") + _hot_dot(F.col("hq"), F.col("hc")))
+    scored = cands.join(qattr.hint("shuffle_hash"), "q").withColumn("dot", F.col("rare_dot") + _hot_dot(F.col("hq"), F.col("hc")))
     if mode == "overlap":
         scored = scored.withColumn("sim", F.col("dot").cast("double"))
         order = [F.col("dot").desc(), F.col("score").desc_nulls_last(), F.col("title").asc_nulls_last(), F.col("c")]

@@ -84,7 +84,8 @@ def crew(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_set("l_suppkey")).alias("d"),
         F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "N", F.col("l_suppkey")))).alias("w"),
     )
-    joined = lists.join(part, lists.l_partkey == part.p_partkey)
+    # a million parts are small in their packed file only: no broadcast
+    joined = lists.join(part.hint("merge"), lists.l_partkey == part.p_partkey)
     text = lambda ids: F.array_join(F.transform(ids, _nconst), ",")
     return joined.select(
         _tconst(F.col("l_partkey")).alias("tconst"),
